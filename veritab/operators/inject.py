@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from decimal import ROUND_HALF_EVEN, Decimal
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,8 +40,7 @@ class Injected:
 
 def error_budget(rows: int, rate: float) -> int:
     """Errors per type: the rate's share of the rows, rounded half-even, at least one."""
-    share = Decimal(str(rate * rows)).quantize(Decimal(1), rounding=ROUND_HALF_EVEN)
-    return max(1, int(share))
+    return max(1, round(rate * rows))
 
 
 def stage_columns(spec: TableSpec) -> dict[str, list[str]]:
