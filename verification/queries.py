@@ -379,12 +379,9 @@ def d2(spark, folder):
     return df.select("c_custkey", rules.is_unknown_category(df, CUSTOMER, "c_mktsegment").alias("bad"))
 
 
-_RANGE_CHECKS = ", ".join(f"{c} < {lo} OR {c} > {hi} AS {c}" for c, (lo, hi) in LINEITEM.ranges.items())
-
-
 @query(
     "d3_range_lineitem",
-    "SELECT " + ", ".join(f"{c}, count(*) FILTER (WHERE {c}_bad) AS {c}_bad_n" for c in ()) + "l_returnflag, "
+    "SELECT l_returnflag, "
     + ", ".join(f"count(*) FILTER (WHERE {c} < {lo} OR {c} > {hi}) AS {c}" for c, (lo, hi) in LINEITEM.ranges.items())
     + " FROM lineitem GROUP BY l_returnflag",
 )
@@ -482,7 +479,7 @@ _feature_query("e9_case_mismatch", "case_mismatch")
 @query(
     "e3_value_counts_lineitem",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", {('round(' + c + ', 6)::VARCHAR') if False else 'n'} AS n, freq AS value_freq, rows FROM "
+        f"SELECT '{c}' AS \"column\", n, freq AS value_freq, rows FROM "
         f"(SELECT n, {sql.r6('n::DOUBLE / sum(n * rows) OVER ()')} AS freq, rows FROM "
         f"(SELECT n, count(*) AS rows FROM (SELECT {c}, count(*) AS n FROM lineitem GROUP BY {c}) GROUP BY n))"
         for c in LINEITEM.features
@@ -561,7 +558,7 @@ def e13(spark, folder):
     return rounded(nearest.nearest_earlier(table(spark, folder, "part"), PART))
 
 
-_INJ_PAIRS = INJ_STATS + ",\n" + sql.scaled(ORDERS, "inj", "id") + ",\n" + sql.nearest(ORDERS)
+_INJ_SCALED = INJ_STATS + ",\n" + sql.scaled(ORDERS, "inj", "id")
 
 
 def orders_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -573,7 +570,9 @@ def orders_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "e13_nearest_earlier_orders",
-    _INJ_PAIRS + " SELECT z.id AS o_orderkey, round(coalesce(p.distance, (SELECT max(distance) FROM pairs)), 6) AS nearest_earlier_dist "
+    _INJ_SCALED + f", pairs AS MATERIALIZED (SELECT a.id, min({sql.pair_distance(ORDERS)}) AS distance "
+    "FROM zs a JOIN zs b ON b.id < a.id GROUP BY a.id) SELECT z.id AS o_orderkey, "
+    "round(coalesce(p.distance, (SELECT max(distance) FROM pairs)), 6) AS nearest_earlier_dist "
     "FROM zs z LEFT JOIN pairs p ON p.id = z.id",
 )
 def e13_orders(spark, folder):
@@ -592,7 +591,7 @@ def e14(spark, folder):
 
 @query(
     "e14_matched_pairs_in_radius",
-    INJ_STATS + ",\n" + sql.scaled(ORDERS, "inj", "id") + ",\n"
+    _INJ_SCALED + ",\n"
     + sql.nearest(ORDERS, " AND abs(a.z_o_totalprice - b.z_o_totalprice) <= 0.03 AND d <= 0.02")
     + " SELECT z.id AS o_orderkey, p.partner, round(p.distance, 6) AS distance FROM zs z LEFT JOIN pairs p ON p.id = z.id",
 )
@@ -760,7 +759,7 @@ def f9(spark, folder):
 
 @query(
     "f11_predictions_to_mask",
-    RULED + ", " .join([""]) + f" SELECT i.id AS o_orderkey, {WIDE_TRUTH} FROM inj i LEFT JOIN said s ON s.id = i.id GROUP BY i.id",
+    RULED + f" SELECT i.id AS o_orderkey, {WIDE_TRUTH} FROM inj i LEFT JOIN said s ON s.id = i.id GROUP BY i.id",
 )
 def f11(spark, folder):
     return cells.wide_mask(rule_cells(spark, folder), injected(spark, folder).table, ORDERS)
@@ -790,7 +789,7 @@ def g1(spark, folder):
 def g2(spark, folder):
     joined = table(spark, folder, "labels").join(table(spark, folder, "documents"), "doc_id")
     counts = joined.groupBy("lang").agg(
-        F.count_if("toxic = 1") if False else F.count_if(F.col("toxic") == 1).alias("s"),
+        F.count_if(F.col("toxic") == 1).alias("s"),
         F.count_if(F.col("quality") == 0).alias("p"),
         F.count_if((F.col("toxic") == 1) & (F.col("quality") == 0)).alias("h"),
     )
@@ -824,22 +823,17 @@ def g6(spark, folder):
     return rounded(found.drop("roc_auc"))
 
 
-_AUC = (
-    "(SELECT sum(r - (p + 1) / 2.0 * 0) FROM (SELECT 1 AS r, 1 AS p))"
-)
-
-
-def _auc_sql(rows: str, score_col: str, positive: str) -> str:
+def _auc_sql(rows: str, score_col: str, label_col: str, positive: str) -> str:
     """Rank-sum form with mid-ranks for ties."""
     return (
         f"(SELECT (sum(mid) FILTER (WHERE pos) - p * (p + 1) / 2.0::DOUBLE) / (p * q) FROM (SELECT pos, "
         f"rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS mid, "
         f"count(*) FILTER (WHERE pos) OVER () ::DOUBLE AS p, count(*) FILTER (WHERE NOT pos) OVER () ::DOUBLE AS q "
-        f"FROM (SELECT {score_col} AS s, {positive} AS pos FROM {rows})) GROUP BY p, q)"
+        f"FROM (SELECT {score_col} AS s, {label_col} = '{positive}' AS pos FROM {rows})) GROUP BY p, q)"
     )
 
 
-@query("g7_roc_auc_events", f"SELECT {sql.r6(_auc_sql('events', 'value', chr(40) + 'event_type = ' + sql.lit('purchase') + ')'))} AS roc_auc")
+@query("g7_roc_auc_events", f"SELECT {sql.r6(_auc_sql('events', 'value', 'event_type', 'purchase'))} AS roc_auc")
 def g7(spark, folder):
     rows = table(spark, folder, "events").select("value", (F.col("event_type") == "purchase").alias("bought"))
     return rounded(score.roc_auc(rows, "value", "bought"))
@@ -847,7 +841,7 @@ def g7(spark, folder):
 
 @query(
     "g7_roc_auc_with_ties",
-    f"SELECT {sql.r6(_auc_sql('lineitem', 'l_quantity', chr(40) + 'l_returnflag = ' + sql.lit('R') + ')'))} AS roc_auc",
+    f"SELECT {sql.r6(_auc_sql('lineitem', 'l_quantity', 'l_returnflag', 'R'))} AS roc_auc",
 )
 def g7_ties(spark, folder):
     rows = table(spark, folder, "lineitem").select("l_quantity", (F.col("l_returnflag") == "R").alias("back"))
@@ -909,9 +903,6 @@ def rule_results(spark: SparkSession, folder: str) -> DataFrame:
     return once(spark, folder, "rule results", build)
 
 
-_TESTED = SCORED.replace("said AS MATERIALIZED (", "said_all AS MATERIALIZED (", 1) if False else None
-
-
 def _held_out_sql() -> str:
     """CTE result: the same two detectors scored on the held-out rows."""
     ctes = RULED + f""",

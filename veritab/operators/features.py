@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veritab.functions.numbers import outside_range, safe_ratio
@@ -94,11 +96,10 @@ def value_table(df: DataFrame, spec: TableSpec) -> DataFrame:
     return counts.withColumn("edit_dist_to_allowed", distance)
 
 
-def column_features(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """Long table (id, column, ten column features), plus any extra columns ``df`` carries."""
+def column_features(df: DataFrame, spec: TableSpec, carry: Sequence[str] = ()) -> DataFrame:
+    """Long table (id, column, ten column features), plus the columns of ``df`` to carry along."""
     stats = column_stats(df, spec.numbers)
     lowercase = uses_lowercase_labels(spec)
-    extra = [c for c in df.columns if c not in spec.record_columns and c != spec.id_col]
     blocks = []
     for c in spec.features:
         if c in spec.categories:
@@ -113,8 +114,8 @@ def column_features(df: DataFrame, spec: TableSpec) -> DataFrame:
                 *[f.alias(n) for n, f in features.items()],
             )
         )
-    cells = df.select(spec.id_col, *extra, F.explode(F.array(*blocks)).alias("cell")).select(
-        spec.id_col, *extra, "cell.*"
+    cells = df.select(spec.id_col, *carry, F.explode(F.array(*blocks)).alias("cell")).select(
+        spec.id_col, *carry, "cell.*"
     )
     found = heavy_lookup(cells, value_table(df, spec), ["column", "key"], "n", spec.id_col)
     return found.select(
@@ -125,7 +126,7 @@ def column_features(df: DataFrame, spec: TableSpec) -> DataFrame:
         *COLUMN_FEATURES[2:7],
         F.coalesce("edit_dist_to_allowed", F.lit(0)).alias("edit_dist_to_allowed"),
         *COLUMN_FEATURES[8:],
-        *extra,
+        *carry,
     )
 
 
@@ -135,7 +136,7 @@ def build_cell_features(df: DataFrame, spec: TableSpec, within: float | None = N
     Row features join once per record, before the record is spread over its cells.
     """
     wide = df.join(row_features(df, spec, within), spec.id_col)
-    cells = column_features(wide, spec)
+    cells = column_features(wide, spec, carry=ROW_FEATURES)
     return cells.select(
         "*", *[(F.col("column") == c).cast("int").alias(f"col_{c}") for c in spec.features]
     )

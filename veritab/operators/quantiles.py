@@ -95,38 +95,51 @@ def quantile_frame(
     while wide and _narrow(df, values, wide):
         wide = [b for b in wide if b.inside > INSIDE]
 
-    keys = df.sparkSession.createDataFrame(
+    spark = df.sparkSession
+    keys = spark.createDataFrame(
         [(name, float(p)) for name in values for p in probabilities],
         "column string, probability double",
     )
     if not brackets:
         return keys.withColumn("value", F.lit(None).cast("double"))
+    # Ranks of one column that share a bracket share its value counts.
+    segments = list({(b.column, b.low, b.high): b for b in brackets}.values())
+    number = {(b.column, b.low, b.high): i for i, b in enumerate(segments)}
+    targets = spark.createDataFrame(
+        [
+            (number[b.column, b.low, b.high], b.column, float(b.probability), b.below, b.first, b.last, b.position - b.first)
+            for b in brackets
+        ],
+        "segment int, column string, probability double, below bigint, first bigint, last bigint, share double",
+    )
     cells = df.select(
         F.explode(
             F.array(*[
                 F.struct(
-                    F.lit(b.column).alias("column"),
-                    F.lit(float(b.probability)).alias("probability"),
+                    F.lit(i).alias("segment"),
                     F.when(b.holds(values[b.column]), values[b.column]).alias("value"),
-                    F.lit(b.below).cast("bigint").alias("below"),
-                    F.lit(b.first).cast("bigint").alias("first"),
-                    F.lit(b.last).cast("bigint").alias("last"),
-                    F.lit(b.position - b.first).alias("share"),
                 )
-                for b in brackets
+                for i, b in enumerate(segments)
             ])
         ).alias("cell")
     ).select("cell.*").filter(F.col("value").isNotNull())
-    key = ["column", "probability", "below", "first", "last", "share"]
-    upto = W.partitionBy("column", "probability").orderBy("value")
-    counted = cells.groupBy(*key, "value").count()
-    reached = counted.withColumn("end", F.col("below") + F.sum("count").over(upto))
-
-    def value_at(rank: str) -> Column:
-        covers = (F.col("end") > F.col(rank)) & (F.col("end") - F.col("count") <= F.col(rank))
-        return F.max(F.when(covers, F.col("value")))
-
-    found = reached.groupBy(*key).agg(value_at("first").alias("lower"), value_at("last").alias("upper"))
+    upto = W.partitionBy("segment").orderBy("value")
+    counted = cells.groupBy("segment", "value").count()
+    reached = counted.withColumn("end", F.sum("count").over(upto))
+
+    def covers(rank: str) -> Column:
+        place = F.col(rank) - F.col("below")
+        return (F.col("end") > place) & (F.col("end") - F.col("count") <= place)
+
+    found = (
+        reached.join(F.broadcast(targets), "segment")
+        .filter(covers("first") | covers("last"))
+        .groupBy("column", "probability", "share")
+        .agg(
+            F.max(F.when(covers("first"), F.col("value"))).alias("lower"),
+            F.max(F.when(covers("last"), F.col("value"))).alias("upper"),
+        )
+    )
     picked = found.select(
         "column",
         "probability",
