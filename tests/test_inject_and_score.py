@@ -138,7 +138,8 @@ def test_run_summary_and_tables(spark):
 
 def test_split_shares_no_record(spark):
     ids = spark.range(327).withColumnRenamed("id", "record_id")
-    train, test = split.split_records(ids, "record_id", 0.3, 42)
+    sides = split.split_by_record(ids, "record_id", 0.3, 42)
+    train, test = sides.train(ids), sides.test(ids)
     assert (train.count(), test.count()) == (228, 99)
     assert split.shared_records(train, test, "record_id").count() == 0
 

@@ -70,6 +70,20 @@ def test_heavy_lookup_keeps_every_row(spark):
     assert sorted(map(repr, out.select("id", "n").collect())) == sorted(map(repr, want.select("id", "n").collect()))
 
 
+def test_heavy_rows_do_not_share_a_join_key(spark):
+    rows = spark.range(5000).selectExpr("id", "IF(id % 3 = 0, -1, id % 700) AS k")
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = heavy_lookup(rows, sizes, ["k"], "n", "id")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The spread value is part of the exchange's key; a folded constant would not be.
+    assert "hashpartitioning(_spread" in plan
+    assert out.filter("n IS NULL").count() == 0
+
+
 def test_cell_rules_take_a_stream(spark, folder, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame(ROWS, SCHEMA).write.parquet(str(source))

@@ -726,9 +726,10 @@ def f6(spark, folder):
     f"row_number() OVER (ORDER BY {sql.digest('split', 'o_orderkey')}) AS rn, count(*) OVER () AS n FROM orders)",
 )
 def f7(spark, folder):
-    train, test = split.split_records(table(spark, folder, "orders"), "o_orderkey", 0.3, SEED)
-    return train.select("o_orderkey", F.lit("train").alias("side")).unionByName(
-        test.select("o_orderkey", F.lit("test").alias("side"))
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    sides = split.split_by_record(orders, "o_orderkey", 0.3, SEED)
+    return sides.train(orders).withColumn("side", F.lit("train")).unionByName(
+        sides.test(orders).withColumn("side", F.lit("test"))
     )
 
 
@@ -744,10 +745,9 @@ def f8(spark, folder):
 def cell_forest(spark: SparkSession, folder: str) -> tuple[forest.CellForest, DataFrame]:
     def build():
         labelled = labelled_features(spark, folder)
-        train, test = split.split_records(injected(spark, folder).table, "o_orderkey", 0.3, SEED)
-        model = forest.train_forest(score.restrict(labelled, train, "o_orderkey"), ORDERS, trees=10, depth=8)
-        held_out = score.restrict(labelled, test, "o_orderkey")
-        return model, materialize(model.predict(held_out)), test
+        sides = split.split_by_record(injected(spark, folder).table, "o_orderkey", 0.3, SEED)
+        model = forest.train_forest(sides.train(labelled), ORDERS, trees=10, depth=8)
+        return model, materialize(model.predict(sides.test(labelled)))
 
     return once(spark, folder, "cell forest", build)
 
@@ -873,7 +873,8 @@ _TEST_IDS = (
 
 
 def test_side(spark: SparkSession, folder: str) -> DataFrame:
-    return split.split_records(injected(spark, folder).table, "o_orderkey", 0.3, SEED)[1]
+    found = injected(spark, folder).table
+    return split.split_by_record(found, "o_orderkey", 0.3, SEED).test(found.select("o_orderkey"))
 
 
 @query("g9_restrict_to_test_rows", RULED + f' SELECT id AS o_orderkey, col AS "column", label FROM said WHERE id IN ({_TEST_IDS})')
@@ -1038,8 +1039,9 @@ def h4(spark, folder):
 
 @query("h5_leakage_check", "SELECT o_orderkey FROM orders WHERE false")
 def h5(spark, folder):
-    train, test = split.split_records(table(spark, folder, "orders"), "o_orderkey", 0.3, SEED)
-    return split.shared_records(train, test, "o_orderkey")
+    orders = table(spark, folder, "orders")
+    sides = split.split_by_record(orders, "o_orderkey", 0.3, SEED)
+    return split.shared_records(sides.train(orders), sides.test(orders), "o_orderkey")
 
 
 @query("h6_same_rows_twice", INJ + f" SELECT {_ID}, {FEATS} FROM inj WHERE false")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veritab.operators.rank import rank_within
 from veritab.operators.skew import heavy_lookup
+from veritab.session import materialize
 
 _DIGEST = "_digest"
 
@@ -22,7 +23,8 @@ def copied_rows(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame
     """
     keyed = df.select(id_col, *columns, F.xxhash64(*columns).alias(_DIGEST))
     repeated = keyed.groupBy(_DIGEST).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    suspects = heavy_lookup(keyed, repeated, [_DIGEST], "n", id_col).filter("n is not null").drop("n")
+    marked = heavy_lookup(keyed, repeated, [_DIGEST], "n", id_col)
+    suspects = materialize(marked.filter("n is not null").drop("n"))
     groups = (
         suspects.groupBy(_DIGEST, *columns)
         .agg(F.count(F.lit(1)).alias("n_rows"), F.min(id_col).alias("first_id"))

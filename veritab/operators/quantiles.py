@@ -28,13 +28,11 @@ class _Bracket:
     below: int = 0
     inside: int = 0
 
-    def holds(self, value: Column) -> Column:
-        keep = value.isNotNull()
-        if self.low is not None:
-            keep = keep & (value >= F.lit(self.low))
-        if self.high is not None:
-            keep = keep & (value <= F.lit(self.high))
-        return keep
+    def inner(self, value: Column) -> Column:
+        """``value`` where it lies in the bracket, else NULL."""
+        if self.low is None:
+            return value
+        return F.when(value.between(self.low, self.high), value)
 
     @property
     def first(self) -> int:
@@ -54,7 +52,7 @@ def _narrow(df: DataFrame, values: Mapping[str, Column], brackets: list[_Bracket
             for rank, move in ((b.first, -_SLACK), (b.last, _SLACK))
         ]
         value = values[b.column]
-        bounds.append(F.percentile_approx(F.when(b.holds(value), value), shares, 10_000).alias(f"b{i}"))
+        bounds.append(F.percentile_approx(b.inner(value), shares, 10_000).alias(f"b{i}"))
     row = df.agg(*bounds).first()
     counts = []
     for i, b in enumerate(brackets):
@@ -117,7 +115,7 @@ def quantile_frame(
             F.array(*[
                 F.struct(
                     F.lit(i).alias("segment"),
-                    F.when(b.holds(values[b.column]), values[b.column]).alias("value"),
+                    b.inner(values[b.column]).alias("value"),
                 )
                 for i, b in enumerate(segments)
             ])

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from veritab.session import materialize
 
 HEAVY_KEYS = 256
-SPREAD = 1024
 
 
 def heavy_lookup(
@@ -17,31 +18,37 @@ def heavy_lookup(
     """Left join ``rows`` with ``lookup``, which has one row per key (NULL keys match NULL).
 
     ``weight`` is the number of rows of each key. The 256 heaviest keys are matched by a
-    broadcast of exactly those 256 lookup rows. Their rows then take a salt that matches
-    nothing, so they pass the second, shuffled join evenly spread. Every key left for that join
-    holds less than 1/256 of the rows.
+    broadcast of exactly those 256 lookup rows. In the second, shuffled join their rows carry a
+    hash of the record instead of one of the key, so they match nothing and are spread evenly.
+    Every key left for that join holds less than 1/256 of the rows. The lookup is written once,
+    since both joins read it.
     """
     payload = [c for c in lookup.columns if c not in on]
-    renamed = lookup.select(
-        *[F.col(c).alias(f"_k_{c}") for c in on], *[F.col(c).alias(f"_p_{c}") for c in payload]
+    stored = materialize(
+        lookup.select(
+            *[F.col(c).alias(f"_k_{c}") for c in on],
+            *[F.col(c).alias(f"_p_{c}") for c in payload],
+            F.xxhash64(*on).alias("_place"),
+        )
     )
-    heaviest = renamed.orderBy(F.desc(f"_p_{weight}")).limit(HEAVY_KEYS)
+    heaviest = stored.orderBy(F.desc(f"_p_{weight}")).limit(HEAVY_KEYS)
 
-    def same_key(side: DataFrame, other: DataFrame):
+    def same_key(side: DataFrame, other: DataFrame) -> Column:
         return reduce(lambda a, b: a & b, [side[c].eqNullSafe(other[f"_k_{c}"]) for c in on])
 
-    hot = heaviest.select("*", F.lit(True).alias("_hot"))
-    tagged = rows.join(F.broadcast(hot), same_key(rows, hot), "left").drop(*[f"_k_{c}" for c in on])
-    tagged = tagged.select(
+    hot = heaviest.select("*", F.lit(True).alias("_hot")).drop("_place")
+    tagged = rows.join(F.broadcast(hot), same_key(rows, hot), "left").select(
         *rows.columns,
         *[F.col(f"_p_{c}").alias(f"_h_{c}") for c in payload],
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)) + 1)
-        .otherwise(F.lit(0))
-        .alias("_salt"),
+        F.coalesce("_hot", F.lit(False)).alias("_hot"),
+        # Both branches are hashes of columns: a constant here would be folded out of the join
+        # key, and the heavy rows would meet in one task again.
+        F.when(F.col("_hot"), F.xxhash64(spread_by)).otherwise(F.xxhash64(*on)).alias("_spread"),
     )
-    rest = renamed.withColumn("_zero", F.lit(0).cast("bigint"))
     matched = tagged.join(
-        rest, same_key(tagged, rest) & (tagged["_salt"] == rest["_zero"]), "left"
+        stored,
+        (tagged["_spread"] == stored["_place"]) & same_key(tagged, stored) & ~tagged["_hot"],
+        "left",
     )
     return matched.select(
         *rows.columns, *[F.coalesce(f"_h_{c}", f"_p_{c}").alias(c) for c in payload]
