@@ -16,12 +16,10 @@ _FETCH = 20_000  # digests of one boundary prefix fetched for the last step
 
 
 def _prefix_counts(digests: DataFrame, prefix: str) -> list[tuple[str, int]]:
-    rows = (
-        digests.filter(F.col("digest").startswith(prefix))
-        .groupBy(F.substring("digest", 1, len(prefix) + _STEP).alias("prefix"))
-        .count()
-        .collect()
-    )
+    if prefix:
+        digests = digests.filter(F.col("digest").startswith(prefix))
+    step = F.substring("digest", 1, len(prefix) + _STEP)
+    rows = digests.groupBy(step.alias("prefix")).count().collect()
     return sorted((r["prefix"], r["count"]) for r in rows)
 
 
