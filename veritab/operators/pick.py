@@ -8,6 +8,7 @@ plain comparison with a literal, so picking needs no join and no shuffle of the
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -30,13 +31,10 @@ def digest_cutoffs(df: DataFrame, digest: Column, ks: Sequence[int]) -> list[str
     total = sum(n for _, n in first)
     if total < max(ks):
         raise ValueError(f"cannot pick {max(ks)} of {total} candidates")
-    cutoffs = []
+    places = []  # per k: the prefix that holds the k-th digest, and its rank there
     for k in ks:
-        if k <= 0:
-            cutoffs.append("")
-            continue
         remaining, counts = k, first
-        while True:
+        while k > 0:
             for prefix, n in counts:
                 if remaining <= n:
                     break
@@ -44,6 +42,13 @@ def digest_cutoffs(df: DataFrame, digest: Column, ks: Sequence[int]) -> list[str
             if n <= _FETCH or len(prefix) >= 30:
                 break
             counts = _prefix_counts(digests, prefix)
-        boundary = digests.filter(F.col("digest").startswith(prefix)).collect()
-        cutoffs.append(sorted(r["digest"] for r in boundary)[remaining - 1])
-    return cutoffs
+        places.append((prefix, remaining) if k > 0 else ("", 0))
+    wanted = [F.col("digest").startswith(p) for p in sorted({p for p, _ in places if p})]
+    if not wanted:
+        return ["" for _ in ks]
+    rows = digests.filter(reduce(lambda a, b: a | b, wanted)).collect()
+    near = sorted(r["digest"] for r in rows)
+    return [
+        [d for d in near if d.startswith(prefix)][rank - 1] if prefix else ""
+        for prefix, rank in places
+    ]
