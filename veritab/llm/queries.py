@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritab.llm import bpe, chat, dedup, output, packing, urls
+from veritab.llm import bpe, chat, crf, dedup, output, packing, pii, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,3 +116,14 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     parts = rows.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))
     return chat.formatting_digests(chat.format_conversations(parts))
+
+
+@query("op7_disclosure_pii")
+def disclosure_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, folder, "documents")))
+
+
+@query("op3_line_crf_quality")
+def line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return crf.classify(documents, crf.fit_on(documents, table(spark, folder, "labels")))
