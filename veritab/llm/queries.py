@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritab.llm import bpe, chat, crf, dedup, output, packing, pii, urls
+from veritab.llm import bpe, chat, crf, dedup, ego, output, packing, pii, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,3 +127,8 @@ def disclosure_pii(spark: SparkSession, folder: str) -> DataFrame:
 def line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return crf.classify(documents, crf.fit_on(documents, table(spark, folder, "labels")))
+
+
+@query("op6_ego_near_dedup")
+def ego_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return ego.near_duplicates(table(spark, folder, "embeddings"))
