@@ -36,3 +36,38 @@ def base_spans(text):
 
 def base_sha(text):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(text)).encode()).hexdigest()
+
+
+def shingles(text, size=5):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+
+
+def jaccard_components(rows):
+    """[(id, n_shingles, component)] by comparing all pairs of different sets."""
+    sets = [shingles(t) for _, t in rows]
+    kinds = sorted(set(s for s in sets if s), key=repr)
+    place = {s: i for i, s in enumerate(kinds)}
+    parent = list(range(len(kinds)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(kinds):
+        for j in range(i):
+            b = kinds[j]
+            common = len(a & b)
+            if 100 * common >= 75 * (len(a) + len(b) - common):
+                parent[root(i)] = root(j)
+    least = {}
+    for (i, _), s in zip(rows, sets):
+        if s and i is not None:
+            r = root(place[s])
+            least[r] = min(least.get(r, i), i)
+    return [(i, len(s), least.get(root(place[s])) if s else i) for (i, _), s in zip(rows, sets)]

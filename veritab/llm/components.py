@@ -57,7 +57,7 @@ def components(edges: DataFrame) -> DataFrame:
     state = materialize(clean.mapInArrow(_local_forest, "big long, small long").distinct())
     print_of = None
     while True:
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("big", "small") % 1_000_003), F.sum("small")).first()
+        now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("big", "small")), F.bit_xor(F.xxhash64("small", "big"))).first()
         if tuple(now) == print_of:
             return state.select(F.col("big").alias("id"), F.col("small").alias("component")).unionByName(
                 state.select(F.col("small").alias("id"), F.col("small").alias("component")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritab.llm import bpe, chat, crf, dedup, ego, output, packing, pii, urls
+from veritab.llm import bpe, chat, crf, dedup, ego, jaccard, output, packing, pii, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,3 +132,8 @@ def line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_ego_near_dedup")
 def ego_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return ego.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op4_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
