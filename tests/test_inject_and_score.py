@@ -67,7 +67,7 @@ def test_partitioning_and_seed(orders, injected):
 
 
 def test_too_few_candidates_is_an_error(spark):
-    spec = TableSpec(name="s", id_col="id", columns={"x": "numeric"}, bad_values={"x": (1,)})
+    spec = TableSpec(name="s", id_col="id", columns={"x": "numeric"}, bad_values={"x": (1,)}, nudge=("x",))
     with pytest.raises(ValueError, match="cannot pick"):
         inject.inject_errors(spark.range(3).selectExpr("id", "1D AS x"), spec, 0.9)
 

@@ -52,7 +52,7 @@ def test_misspellings_are_never_valid(spark):
 
 @pytest.mark.parametrize("limit", [5, 200, 10_000])
 def test_quantiles_match_linear_interpolation(spark, monkeypatch, limit):
-    monkeypatch.setattr(quantiles, "INSIDE", limit)
+    monkeypatch.setattr(quantiles, "FETCH", limit)
     rng = random.Random(7)
     tied = [float(rng.choice([1, 1, 1, 2, 50])) for _ in range(3000)]
     spread = [rng.lognormvariate(0, 3) for _ in range(3000)]

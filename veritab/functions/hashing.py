@@ -35,8 +35,8 @@ def draw_fraction(digest: str) -> str:
     return f"({draw_integer(digest)} / {float(_DRAW_RANGE)!r}D)"
 
 
-def draw_index(digest: str, size: int) -> str:
-    """Uniform 0-based index below ``size``."""
+def draw_index(digest: str, size: int | str) -> str:
+    """Uniform 0-based index below ``size``, a number or expression text."""
     return f"({draw_integer(digest)} % {size})"
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veritab.spec import UnitChange
 
@@ -29,3 +31,10 @@ def outside_range(value: Column, low: float, high: float) -> Column:
 def no_nan(value: Column) -> Column:
     """NaN is not a second kind of missing value: turn it into NULL."""
     return F.when(~F.isnan(value), value)
+
+
+def nan_as_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with NaN turned into NULL in those number columns that can hold it."""
+    floating = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    found = [c for c in columns if c in floating]
+    return df.withColumns({c: no_nan(F.col(c)) for c in found}) if found else df

@@ -66,5 +66,5 @@ def misspell(value: str, allowed_anywhere: Sequence[str], digest: str) -> str:
     )
     return (
         f"element_at(transform(array({options}), options -> "
-        f"coalesce({walk}.text, element_at(options, -1).text)), 1)"
+        f"coalesce({walk}.text, try_element_at(options, -1).text)), 1)"
     )

@@ -16,8 +16,12 @@ def complete_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def whole_number(value: Column) -> Column:
-    """Truncate to a whole number; text that is no number becomes missing."""
-    return value.try_cast("double").try_cast("bigint")
+    """Truncate to a whole number; text that is no number becomes missing.
+
+    Decimals come first: they hold every BIGINT exactly, which doubles do not.
+    """
+    exact = value.try_cast("decimal(38,18)").try_cast("bigint")
+    return F.coalesce(exact, value.try_cast("double").try_cast("bigint"))
 
 
 def to_whole_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:

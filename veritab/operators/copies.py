@@ -4,33 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veritab.operators.rank import rank_within
 from veritab.operators.skew import heavy_lookup
-from veritab.session import materialize
 
 _DIGEST = "_digest"
 
 
+def record_digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """SHA-256 of a record's values, with their lengths, so that different records differ.
+
+    Missing equals missing; -0.0 equals 0.0.
+    """
+    types = {f.name: f.dataType for f in df.schema}
+
+    def written(name: str) -> Column:
+        value = F.col(name)
+        if isinstance(types[name], (T.FloatType, T.DoubleType)):
+            value = value + F.lit(0.0).cast(types[name])
+        shown = F.hex(value) if isinstance(types[name], T.BinaryType) else value.cast("string")
+        return F.coalesce(F.concat(F.length(shown).cast("string"), F.lit(":"), shown), F.lit("-"))
+
+    return F.unhex(F.sha2(F.concat(*map(written, columns)), 256))
+
+
 def copied_rows(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
     """(id, n_rows, first_id) of every row that equals another one on ``columns``.
 
-    Missing equals missing. An 8-byte digest is counted first, so rows without a twin drop out
-    before whole records are exchanged; the rest are compared on the columns themselves. Groups
-    are reduced before the exchange and looked up with :func:`heavy_lookup`, so a record copied
-    a billion times is still one partial count per task.
+    Only ids and 32-byte digests are exchanged, never records. Groups are counted within each task
+    first and looked up with :func:`heavy_lookup`, so a record copied a billion times is still one
+    partial count per task.
     """
-    keyed = df.select(id_col, *columns, F.xxhash64(*columns).alias(_DIGEST))
-    repeated = keyed.groupBy(_DIGEST).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    marked = heavy_lookup(keyed, repeated, [_DIGEST], "n", id_col)
-    suspects = materialize(marked.filter("n is not null").drop("n"))
+    keyed = df.select(id_col, record_digest(df, columns).alias(_DIGEST))
     groups = (
-        suspects.groupBy(_DIGEST, *columns)
+        keyed.groupBy(_DIGEST)
         .agg(F.count(F.lit(1)).alias("n_rows"), F.min(id_col).alias("first_id"))
         .filter("n_rows > 1")
     )
-    found = heavy_lookup(suspects, groups, [_DIGEST, *columns], "n_rows", id_col)
+    found = heavy_lookup(keyed, groups, [_DIGEST], "n_rows", id_col)
     return found.filter("n_rows is not null").select(id_col, "n_rows", "first_id")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veritab.functions.numbers import outside_range, safe_ratio
+from veritab.functions.numbers import nan_as_missing, outside_range, safe_ratio
 from veritab.functions.text import (
     differs_by_case_only,
     edit_distance_to,
@@ -98,6 +98,7 @@ def value_table(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 def column_features(df: DataFrame, spec: TableSpec, carry: Sequence[str] = ()) -> DataFrame:
     """Long table (id, column, ten column features), plus the columns of ``df`` to carry along."""
+    df = nan_as_missing(df, spec.numbers)
     stats = column_stats(df, spec.numbers)
     lowercase = uses_lowercase_labels(spec)
     blocks = []

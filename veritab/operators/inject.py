@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from veritab.functions.hashing import column, draw, draw_fraction, draw_index, draw_item, text
-from veritab.functions.numbers import convert_unit
+from veritab.functions.numbers import convert_unit, nan_as_missing
 from veritab.functions.text import misspell
 from veritab.operators.cells import labelled_cells
 from veritab.operators.pick import digest_cutoffs
@@ -119,20 +119,41 @@ def _corrupted(spec: TableSpec, seed: int, name: str) -> str:
     return f"CASE {_mask(name)} {' '.join(planted)} ELSE {column(name)} END AS {column(name)}"
 
 
+def _filled(columns: Sequence[str]) -> str:
+    """The names among ``columns`` that hold a value in this row, as an array."""
+    return f"array_compact(array({', '.join(f'CASE WHEN {column(c)} IS NOT NULL THEN {text(c)} END' for c in columns)}))"
+
+
+def _changeable(spec: TableSpec) -> str:
+    """Whether a row holds anything that a near copy could change."""
+    return f"size({_filled([*spec.nudge, *spec.categories])}) > 0"
+
+
 def _near_copy(spec: TableSpec, seed: int, near: str) -> dict[str, str]:
-    """One small change to a copied row: a measurement moved by one, or one misspelling."""
+    """One small change to a copied row: a measurement moved by one, or one misspelling.
+
+    The column is drawn among those of its kind that hold a value; a row that holds values of one
+    kind only gets that kind.
+    """
     nudged, spelled = list(spec.nudge), spec.categories
-    coin = f"{draw_fraction(_row_draw(spec, seed, 'near_kind'))} < 0.5D"
-    if not nudged or not spelled:
-        coin = str(bool(nudged))
+    some = {kind: _filled(columns) if columns else "CAST(array() AS ARRAY<STRING>)" for kind, columns in (("n", nudged), ("s", spelled))}
+    coin = (
+        f"CASE WHEN size({some['n']}) = 0 THEN FALSE WHEN size({some['s']}) = 0 THEN TRUE "
+        f"ELSE {draw_fraction(_row_draw(spec, seed, 'near_kind'))} < 0.5D END"
+    )
     place = _row_draw(spec, seed, "near_column")
     sign = f"CASE WHEN {draw_fraction(_row_draw(spec, seed, 'near_sign'))} < 0.5D THEN -1D ELSE 1D END"
+
+    def drawn(kind: str) -> str:
+        index = draw_index(place, f"greatest(size({some[kind]}), 1)")
+        return f"try_element_at({some[kind]}, CAST({index} + 1 AS INT))"
+
     changed = {}
-    for i, c in enumerate(nudged):
-        hit = f"{near} AND {coin} AND {draw_index(place, len(nudged))} = {i}"
+    for c in nudged:
+        hit = f"{near} AND ({coin}) AND {drawn('n')} = {text(c)}"
         changed[c] = f"CASE WHEN {hit} THEN {column(c)} + {sign} ELSE {column(c)} END"
-    for i, c in enumerate(spelled):
-        hit = f"{near} AND NOT ({coin}) AND {draw_index(place, len(spelled))} = {i}"
+    for c in spelled:
+        hit = f"{near} AND NOT ({coin}) AND {drawn('s')} = {text(c)}"
         changed[c] = f"CASE WHEN {hit} THEN {_typo(spec, seed, 'near_typo', c)} ELSE {column(c)} END"
     return changed
 
@@ -148,9 +169,11 @@ def inject_errors(df: DataFrame, spec: TableSpec, rate: float = 0.05, seed: int
     DOUBLE, so that a missing or converted value fits. The outcome is written once, so the
     detectors that scan it again and again do not repeat the draws.
     """
-    spec.validate(df)
+    spec.check_ids(spec.validate(df))
+    if not spec.nudge and not spec.categories:
+        raise ValueError(f"{spec.name}: a near copy needs a column to nudge or a category to misspell")
     record_id = column(spec.id_col)
-    base = df.selectExpr(
+    base = nan_as_missing(df, spec.numbers).selectExpr(
         f"CAST({record_id} AS BIGINT) AS {record_id}",
         *[
             f"CAST({column(c)} AS DOUBLE) AS {column(c)}" if c in spec.numbers else column(c)
@@ -176,8 +199,12 @@ def inject_errors(df: DataFrame, spec: TableSpec, rate: float = 0.05, seed: int
     sources = clean_rows(base, spec, seed, cutoffs).withColumn(
         "_digest", F.expr(_row_draw(spec, seed, "duplicate"))
     )
-    exact_end, near_end = digest_cutoffs(sources, F.col("_digest"), [n_errors, 2 * n_errors])
-    chosen = digest_rank(sources.filter(F.col("_digest") <= near_end), "_digest", "_rank")
+    exact_end = digest_cutoffs(sources, F.col("_digest"), [n_errors])[0]
+    # Near copies come from the rows behind, as far as these hold a value that can change.
+    behind = sources.filter((F.col("_digest") > exact_end) & F.expr(_changeable(spec)))
+    near_end = digest_cutoffs(behind, F.col("_digest"), [n_errors])[0]
+    picked = (F.col("_digest") <= exact_end) | ((F.col("_digest") <= near_end) & F.expr(_changeable(spec)))
+    chosen = digest_rank(sources.filter(picked), "_digest", "_rank")
     near = f"_digest > '{exact_end}'"
     changed = _near_copy(spec, seed, near)
     label = f"CASE WHEN {near} THEN 'near_duplicate' ELSE 'exact_duplicate' END"

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from veritab.functions.numbers import nan_as_missing, no_nan
 from veritab.operators.quantiles import quantile_frame, quantiles
 from veritab.spec import TableSpec
 
@@ -32,15 +33,14 @@ class ColumnStats:
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnStats]:
     """Median, median absolute deviation and sample deviation of each column, all exact."""
+    df = nan_as_missing(df, columns)
     values = {c: F.col(c).cast("double") for c in columns}
-    first = df.agg(
-        F.struct(*[F.count(v).alias(c) for c, v in values.items()]).alias("sizes"),
-        F.struct(*[F.stddev_samp(v).alias(c) for c, v in values.items()]).alias("stds"),
-    ).first()
-    sizes, stds = first["sizes"].asDict(), first["stds"]
-    medians = {c: q[0] for c, q in quantiles(df, values, [0.5], sizes).items()}
+    if not values:
+        return {}
+    stds = df.agg(F.struct(*[F.stddev_samp(v).alias(c) for c, v in values.items()])).first()[0]
+    medians = {c: q[0] for c, q in quantiles(df, values, [0.5]).items()}
     gaps = {c: F.abs(v - F.lit(medians[c])) for c, v in values.items() if medians[c] is not None}
-    mads = quantiles(df, gaps, [0.5], sizes) if gaps else {}
+    mads = quantiles(df, gaps, [0.5])
     return {c: ColumnStats(medians[c], mads.get(c, [None])[0], stds[c]) for c in columns}
 
 
@@ -52,7 +52,7 @@ class Scale:
     width: float
 
     def apply(self, value: Column) -> Column:
-        filled = F.coalesce(value.cast("double"), F.lit(self.median))
+        filled = F.coalesce(no_nan(value.cast("double")), F.lit(self.median))
         return (filled - F.lit(self.median)) / F.lit(self.width)
 
 
@@ -64,15 +64,14 @@ def distance_scales(
     A column whose range is 0 is divided by its sample deviation, or left as it is with
     ``flat_as_std=False``; a constant column is never divided.
     """
+    df = nan_as_missing(df, columns)
     raw = {c: F.col(c).cast("double") for c in columns}
     medians = {c: q[0] if q[0] is not None else 0.0 for c, q in quantiles(df, raw, [0.5]).items()}
     filled = {c: F.coalesce(v, F.lit(medians[c])) for c, v in raw.items()}
-    totals = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.struct(*[F.stddev_samp(v).alias(c) for c, v in filled.items()]).alias("stds"),
-    ).first()
-    quartiles = quantiles(df, filled, [0.25, 0.75], {c: totals["rows"] for c in columns})
-    stds = totals["stds"]
+    if not filled:
+        return {}
+    stds = df.agg(F.struct(*[F.stddev_samp(v).alias(c) for c, v in filled.items()])).first()[0]
+    quartiles = quantiles(df, filled, [0.25, 0.75])
     scales = {}
     for c in columns:
         low, high = quartiles[c]
@@ -90,6 +89,7 @@ def cell_key(name: str, spec: TableSpec) -> Column:
 
 def value_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
     """(column, key, n, value_freq): each value's share of the non-missing values of its column."""
+    df = nan_as_missing(df, spec.numbers)
     sizes = df.agg(*[F.count(c).alias(c) for c in spec.features]).first()
     cells = F.explode(
         F.array(*[
@@ -130,6 +130,7 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]
 
 def summary(df: DataFrame, columns: Sequence[str], digits: int = 1) -> DataFrame:
     """count, mean, std, min, quartiles and max of each column, rounded; one row per column."""
+    df = nan_as_missing(df, columns)
     values = {c: F.col(c).cast("double") for c in columns}
     moments = df.agg(
         *[

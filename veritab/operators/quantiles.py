@@ -1,158 +1,136 @@
-"""Exact interpolated quantiles that never hold a whole column in one task.
-
-Spark's own ``percentile`` and ``median`` keep every distinct value of a column in one buffer.
-Here each wanted rank is first bracketed between two approximate quantiles, the rows below the
-bracket are counted, and only the distinct values inside it are counted one by one. Brackets are
-narrowed until few rows are inside, so the last step is small at any table size.
+"""Exact interpolated quantiles that never hold a whole column, or a sketch of one, in one task.
+
+Spark's own ``percentile`` keeps every distinct value of a column in one buffer, and sketches of
+all tasks would meet in one task as well. Here each wanted rank has a bracket of values. A pass
+counts the rows of every bracket in ``CELLS`` equal steps, added up within each task before the
+exchange; the step that holds the rank is the next bracket. Once a bracket holds few rows or one
+value only, its values are fetched. All columns and ranks share their passes, and the driver sees
+``CELLS`` counts per bracket at most.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-INSIDE = 2_000_000
-_SLACK = 1e-3
+CELLS = 4096
+#: A bracket with so few rows is fetched.
+FETCH = 5_000
 
 
-@dataclass
+@dataclass(frozen=True)
 class _Bracket:
-    column: str
-    probability: float
-    position: float
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    inside: int = 0
-
-    def inner(self, value: Column) -> Column:
-        """``value`` where it lies in the bracket, else NULL."""
-        if self.low is None:
-            return value
-        return F.when(value.between(self.low, self.high), value)
+    """The rows of ``column`` from ``low`` to ``high``; ``below`` rows are smaller, ``inside`` lie in it."""
 
-    @property
-    def first(self) -> int:
-        return math.floor(self.position)
+    column: str
+    low: float
+    high: float
+    below: int
+    inside: int
 
     @property
-    def last(self) -> int:
-        return math.ceil(self.position)
-
-
-def _narrow(df: DataFrame, values: Mapping[str, Column], brackets: list[_Bracket]) -> bool:
-    """Shrink the given brackets by one round; True if any of them shrank."""
-    bounds = []
-    for i, b in enumerate(brackets):
-        shares = [
-            min(max((rank - b.below) / b.inside + move, 0.0), 1.0)
-            for rank, move in ((b.first, -_SLACK), (b.last, _SLACK))
-        ]
-        value = values[b.column]
-        bounds.append(F.percentile_approx(b.inner(value), shares, 10_000).alias(f"b{i}"))
-    row = df.agg(*bounds).first()
-    counts = []
-    for i, b in enumerate(brackets):
-        value, (low, high) = values[b.column], row[f"b{i}"]
-        counts.append(F.count(F.when(value < F.lit(low), 1)).alias(f"below{i}"))
-        counts.append(F.count(F.when(value.between(low, high), 1)).alias(f"inside{i}"))
-    found = df.agg(*counts).first()
-    shrank = False
-    for i, b in enumerate(brackets):
-        below, inside = found[f"below{i}"], found[f"inside{i}"]
-        if below <= b.first and b.last < below + inside and inside < b.inside:
-            b.low, b.high = row[f"b{i}"]
-            b.below, b.inside = below, inside
-            shrank = True
-    return shrank
-
-
-def quantile_frame(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    probabilities: Sequence[float],
-    sizes: Mapping[str, int] | None = None,
-) -> DataFrame:
-    """(column, probability, value) rows; missing values are ignored, an empty column gives NULL.
-
-    ``sizes``, the number of present values per column, saves a counting pass if known.
-    """
-    values = {name: value.cast("double") for name, value in values.items()}
-    if sizes is None:
-        sizes = df.agg(*[F.count(v).alias(name) for name, v in values.items()]).first().asDict()
-    brackets = [
-        _Bracket(name, p, p * (sizes[name] - 1), inside=sizes[name])
-        for name in values
-        for p in probabilities
-        if sizes[name]
-    ]
-    wide = [b for b in brackets if b.inside > INSIDE]
-    while wide and _narrow(df, values, wide):
-        wide = [b for b in wide if b.inside > INSIDE]
-
-    spark = df.sparkSession
-    keys = spark.createDataFrame(
-        [(name, float(p)) for name in values for p in probabilities],
-        "column string, probability double",
-    )
-    if not brackets:
-        return keys.withColumn("value", F.lit(None).cast("double"))
-    # Ranks of one column that share a bracket share its value counts.
-    segments = list({(b.column, b.low, b.high): b for b in brackets}.values())
-    number = {(b.column, b.low, b.high): i for i, b in enumerate(segments)}
-    targets = spark.createDataFrame(
-        [
-            (number[b.column, b.low, b.high], b.column, float(b.probability), b.below, b.first, b.last, b.position - b.first)
-            for b in brackets
-        ],
-        "segment int, column string, probability double, below bigint, first bigint, last bigint, share double",
-    )
-    cells = df.select(
-        F.explode(
-            F.array(*[
-                F.struct(
-                    F.lit(i).alias("segment"),
-                    b.inner(values[b.column]).alias("value"),
-                )
-                for i, b in enumerate(segments)
-            ])
-        ).alias("cell")
-    ).select("cell.*").filter(F.col("value").isNotNull())
-    upto = W.partitionBy("segment").orderBy("value")
-    counted = cells.groupBy("segment", "value").count()
-    reached = counted.withColumn("end", F.sum("count").over(upto))
-
-    def covers(rank: str) -> Column:
-        place = F.col(rank) - F.col("below")
-        return (F.col("end") > place) & (F.col("end") - F.col("count") <= place)
-
-    found = (
-        reached.join(F.broadcast(targets), "segment")
-        .filter(covers("first") | covers("last"))
-        .groupBy("column", "probability", "share")
-        .agg(
-            F.max(F.when(covers("first"), F.col("value"))).alias("lower"),
-            F.max(F.when(covers("last"), F.col("value"))).alias("upper"),
+    def settled(self) -> bool:
+        return self.low == self.high or self.inside <= FETCH
+
+    def cell(self, value: Column) -> Column:
+        """The step of the bracket that holds ``value``; infinite ends have steps of their own."""
+        low, high = max(self.low, -1.7e308), min(self.high, 1.7e308)
+        # Halves, so that the width of the widest bracket is finite too.
+        width = high / 2 - low / 2
+        place = F.floor((value / 2 - F.lit(low / 2)) / F.lit(width or 1.0) * CELLS).cast("int")
+        inner = F.greatest(F.lit(0), F.least(place, F.lit(CELLS - 1)))
+        return F.when(value < low, -1).when(value > high, CELLS).otherwise(inner)
+
+
+def _exploded(df: DataFrame, values: Mapping[str, Column], brackets: Sequence[_Bracket], extra) -> DataFrame:
+    """(bracket, value, ...) of every row that lies in a bracket."""
+    structs = [
+        F.when(
+            values[b.column].between(b.low, b.high),
+            F.struct(F.lit(i).alias("bracket"), values[b.column].alias("value"), *extra(b)),
         )
+        for i, b in enumerate(brackets)
+    ]
+    return df.select(F.explode(F.array_compact(F.array(*structs))).alias("x")).select("x.*")
+
+
+def _narrower(df: DataFrame, values: Mapping[str, Column], ranks: Mapping[_Bracket, set[int]]) -> dict[tuple[str, int], _Bracket]:
+    """The step of its bracket that holds each rank."""
+    brackets = list(ranks)
+    cells = _exploded(df, values, brackets, lambda b: [b.cell(values[b.column]).alias("cell")])
+    counts = cells.groupBy("bracket", "cell").agg(
+        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
-    picked = found.select(
-        "column",
-        "probability",
-        (F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("share")).alias("value"),
-    )
-    return keys.join(picked, ["column", "probability"], "left")
-
-
-def quantiles(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    probabilities: Sequence[float],
-    sizes: Mapping[str, int] | None = None,
-) -> dict[str, list[float | None]]:
-    """The same as plain numbers: one list per column, in the order of ``probabilities``."""
-    rows = quantile_frame(df, values, probabilities, sizes).collect()
-    found = {(r["column"], r["probability"]): r["value"] for r in rows}
-    return {name: [found[name, float(p)] for p in probabilities] for name in values}
+    found: dict[tuple[str, int], _Bracket] = {}
+    below = {i: b.below for i, b in enumerate(brackets)}
+    for row in sorted(counts.collect(), key=lambda r: (r["bracket"], r["cell"])):
+        outer, start = brackets[row["bracket"]], below[row["bracket"]]
+        inner = _Bracket(outer.column, row["low"], row["high"], start, row["n"])
+        below[row["bracket"]] += row["n"]
+        for rank in ranks[outer]:
+            if start <= rank < start + row["n"]:
+                found[outer.column, rank] = inner
+    return found
+
+
+def _fetched(df: DataFrame, values: Mapping[str, Column], brackets: Sequence[_Bracket]) -> dict[_Bracket, list[float]]:
+    """The sorted values of small brackets."""
+    out: dict[_Bracket, list[float]] = {b: [b.low] * b.inside if b.low == b.high and b.inside <= FETCH else [] for b in brackets}
+    open_ones = [b for b in brackets if b.low < b.high]
+    if open_ones:
+        for row in _exploded(df, values, open_ones, lambda b: []).collect():
+            out[open_ones[row["bracket"]]].append(row["value"])
+    return {b: sorted(found) for b, found in out.items()}
+
+
+def _by_bracket(where: Mapping[tuple[str, int], _Bracket], keys: Iterable[tuple[str, int]]) -> dict[_Bracket, set[int]]:
+    grouped: dict[_Bracket, set[int]] = {}
+    for column, rank in keys:
+        grouped.setdefault(where[column, rank], set()).add(rank)
+    return grouped
+
+
+def order_statistics(df: DataFrame, values: Mapping[str, Column], wanted: Mapping[str, Iterable[int]], brackets: Mapping[str, _Bracket]) -> dict[tuple[str, int], float]:
+    """The value at each 0-based rank of each column."""
+    where = {(c, rank): brackets[c] for c, ranks in wanted.items() for rank in ranks}
+    while wide := [key for key, b in where.items() if not b.settled]:
+        where |= _narrower(df, values, _by_bracket(where, wide))
+    small = _by_bracket(where, [key for key, b in where.items() if b.low < b.high])
+    found = _fetched(df, values, list(small)) if small else {}
+    return {key: b.low if b.low == b.high else found[b][key[1] - b.below] for key, b in where.items()}
+
+
+def quantiles(df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
+    """One list per column, in the order of ``probabilities``; missing values (NULL, NaN) don't count.
+
+    An empty column has None throughout. Ranks between two values are interpolated.
+    """
+    values = {name: F.when(~F.isnan(value.cast("double")), value.cast("double")) for name, value in values.items()}
+    if not values:
+        return {}
+    row = df.agg(
+        *[f(v).alias(f"{f.__name__}{i}") for i, v in enumerate(values.values()) for f in (F.count, F.min, F.max)]
+    ).first()
+    brackets = {
+        name: _Bracket(name, row[f"min{i}"], row[f"max{i}"], 0, row[f"count{i}"])
+        for i, name in enumerate(values) if row[f"count{i}"]
+    }
+    places = {name: [p * (b.inside - 1) for p in probabilities] for name, b in brackets.items()}
+    wanted = {name: {r for x in found for r in (math.floor(x), math.ceil(x))} for name, found in places.items()}
+    at = order_statistics(df, values, wanted, brackets)
+    out: dict[str, list[float | None]] = {name: [None] * len(probabilities) for name in values}
+    for name, found in places.items():
+        for k, x in enumerate(found):
+            lower, upper = at[name, math.floor(x)], at[name, math.ceil(x)]
+            out[name][k] = lower + (upper - lower) * (x - math.floor(x)) if lower < upper else lower
+    return out
+
+
+def quantile_frame(df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float]) -> DataFrame:
+    """The same as (column, probability, value) rows."""
+    found = quantiles(df, values, probabilities)
+    rows = [(name, float(p), found[name][k]) for name in found for k, p in enumerate(probabilities)]
+    return df.sparkSession.createDataFrame(rows, "column string, probability double, value double")

@@ -14,15 +14,21 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from veritab.session import materialize
 
-BUCKETS = 1024
+#: Buckets for each shuffle partition, so that work spreads as far as the session allows.
+BUCKETS_PER_PARTITION = 4
 
 
-def range_buckets(df: DataFrame, column: str, name: str = "bucket", buckets: int = BUCKETS) -> DataFrame:
+def bucket_count(df: DataFrame) -> int:
+    return BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def range_buckets(df: DataFrame, column: str, name: str = "bucket", buckets: int | None = None) -> DataFrame:
     """Add an order-preserving bucket number with about the same share of rows in each.
 
     The edges are approximate quantiles. Whether they are accurate changes how evenly the work
     is spread, never a result.
     """
+    buckets = buckets or bucket_count(df)
     as_double = df.withColumn("_edge_value", F.col(column).cast("double"))
     probabilities = [i / buckets for i in range(1, buckets)]
     edges = sorted(set(as_double.approxQuantile("_edge_value", probabilities, 0.5 / buckets)))
@@ -54,9 +60,15 @@ def bucketed_rank(df: DataFrame, bucket: str, order_by: Sequence, name: str) ->
 
 
 def digest_rank(df: DataFrame, digest: str, name: str) -> DataFrame:
-    """Rank by an md5 column: its first digits are already an even, ordered bucket."""
+    """Rank by an md5 column: equal steps of its leading digits are even, ordered buckets.
+
+    The rows are often those with the smallest draws, so the steps divide what occurs.
+    """
+    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    last = df.agg(F.max(place)).first()[0] or 0
+    step = last // bucket_count(df) + 1
     return bucketed_rank(
-        df.withColumn("_prefix", F.substring(digest, 1, 3)), "_prefix", [digest], name
+        df.withColumn("_prefix", F.floor(place / step).cast("bigint")), "_prefix", [digest], name
     ).drop("_prefix")
 
 

@@ -22,12 +22,17 @@ def is_unknown_category(df: DataFrame, spec: TableSpec, column: str) -> Column:
 
 def is_out_of_range(df: DataFrame, spec: TableSpec, column: str) -> Column:
     low, high = spec.ranges[column]
-    return F.coalesce(~df[column].between(float(low), float(high)), F.lit(False))
+    return F.coalesce(~df[column].between(float(low), float(high)) & ~F.isnan(df[column]), F.lit(False))
+
+
+def is_missing(df: DataFrame, spec: TableSpec, column: str) -> Column:
+    """NULL, or NaN in a number column."""
+    return df[column].isNull() | F.isnan(df[column]) if column in spec.numbers else df[column].isNull()
 
 
 def cell_label(df: DataFrame, spec: TableSpec, column: str) -> Column:
     """The label of one cell from the checks that need nothing but the cell."""
-    label = F.when(df[column].isNull(), "missing")
+    label = F.when(is_missing(df, spec, column), "missing")
     if column in spec.ranges:
         label = label.when(is_out_of_range(df, spec, column), "out_of_range")
     if column in spec.allowed:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veritab.session import materialize
 
-HEAVY_KEYS = 256
 
 
 def heavy_lookup(
@@ -17,11 +16,11 @@ def heavy_lookup(
 ) -> DataFrame:
     """Left join ``rows`` with ``lookup``, which has one row per key (NULL keys match NULL).
 
-    ``weight`` is the number of rows of each key. The 256 heaviest keys are matched by a
-    broadcast of exactly those 256 lookup rows. In the second, shuffled join their rows carry a
-    hash of the record instead of one of the key, so they match nothing and are spread evenly.
-    Every key left for that join holds less than 1/256 of the rows. The lookup is written once,
-    since both joins read it.
+    ``weight`` is the number of rows of each key. Keys with over a quarter of a shuffle
+    partition's share of all weight are matched by a broadcast; there are at most four of them for
+    each partition, whatever the data. In the second, shuffled join their rows carry a hash of
+    the record instead of one of the key, so they match nothing and are spread evenly. The lookup
+    is written once, since both joins read it.
     """
     payload = [c for c in lookup.columns if c not in on]
     stored = materialize(
@@ -31,7 +30,9 @@ def heavy_lookup(
             F.xxhash64(*on).alias("_place"),
         )
     )
-    heaviest = stored.orderBy(F.desc(f"_p_{weight}")).limit(HEAVY_KEYS)
+    total = stored.agg(F.sum(f"_p_{weight}")).first()[0] or 0
+    share = total / (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    heaviest = stored.filter(F.col(f"_p_{weight}") > share)
 
     def same_key(side: DataFrame, other: DataFrame) -> Column:
         return reduce(lambda a, b: a & b, [side[c].eqNullSafe(other[f"_k_{c}"]) for c in on])

@@ -100,3 +100,14 @@ class TableSpec:
             if not isinstance(types[c], T.StringType):
                 raise ValueError(f"{self.name}: {c} must be text, is {types[c].simpleString()}")
         return df
+
+    def check_ids(self, df: DataFrame) -> DataFrame:
+        """Check that every record has an id of its own; return ``df`` unchanged.
+
+        Draws depend on the id alone, so records that share one would share all picks.
+        """
+        counts = df.groupBy(self.id_col).count()
+        bad = counts.filter(f"count > 1 OR `{self.id_col}` IS NULL").limit(1).collect()
+        if bad:
+            raise ValueError(f"{self.name}: {self.id_col} {bad[0][0]} is missing or not unique")
+        return df
