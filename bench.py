@@ -17,6 +17,7 @@ from veritab.operators.copies import copy_counts  # noqa: E402
 from veritab.operators.features import column_features  # noqa: E402
 from veritab.operators.iforest import fit_isolation_forest  # noqa: E402
 from veritab.operators.inject import inject_errors  # noqa: E402
+from veritab.operators.keyed import keyed_pairs  # noqa: E402
 from veritab.operators.nearest import nearest_pairs  # noqa: E402
 from veritab.operators.profile import summary, value_counts  # noqa: E402
 from veritab.operators.rules import cell_rule_mask, rule_cells  # noqa: E402
@@ -66,6 +67,7 @@ def main() -> None:
         "rule_scores_orders": scores,
         "column_features_orders": lambda: run(column_features(orders, ORDERS)),
         "copy_counts_events": lambda: run(copy_counts(events, ["event_type"], "event_id")),
+        "nearest_keyed_orders": lambda: run(keyed_pairs(orders, ORDERS)),
         "nearest_exact_part": lambda: run(nearest_pairs(part, PART)),
         "nearest_radius_events": lambda: run(nearest_pairs(events, EVENTS, within=0.05)),
         "roc_auc_events": lambda: run(

@@ -14,9 +14,11 @@ from veritab.functions.text import (
     has_edge_space,
 )
 from veritab.operators.copies import copy_counts
-from veritab.operators.nearest import nearest_earlier
+from veritab.operators.keyed import keyed_pairs
+from veritab.operators.nearest import nearest_earlier, nearest_pairs
 from veritab.operators.profile import ColumnStats, cell_key, column_stats, value_counts
 from veritab.operators.skew import heavy_lookup
+from veritab.session import materialize
 from veritab.spec import CLEAN, TableSpec
 
 COLUMN_FEATURES = [
@@ -30,10 +32,14 @@ def feature_names(spec: TableSpec) -> list[str]:
     return COLUMN_FEATURES + ROW_FEATURES + [f"col_{c}" for c in spec.features]
 
 
-def row_features(df: DataFrame, spec: TableSpec, within: float | None = None) -> DataFrame:
+#: The nearest earlier record: among those that differ in one column at most, or among all.
+SEARCHES = {"keyed": keyed_pairs, "exact": nearest_pairs}
+
+
+def row_features(df: DataFrame, spec: TableSpec, search: str = "keyed") -> DataFrame:
     """id with the three row features; copies here ignore the target."""
     copies = copy_counts(df, spec.features, spec.id_col)
-    nearest = nearest_earlier(df, spec, within=within)
+    nearest = nearest_earlier(materialize(SEARCHES[search](df, spec)), spec.id_col)
     zero = F.lit(0).cast("bigint")
     return nearest.join(copies, spec.id_col, "left").select(
         spec.id_col,
@@ -131,12 +137,12 @@ def column_features(df: DataFrame, spec: TableSpec, carry: Sequence[str] = ()) -
     )
 
 
-def build_cell_features(df: DataFrame, spec: TableSpec, within: float | None = None) -> DataFrame:
+def build_cell_features(df: DataFrame, spec: TableSpec, search: str = "keyed") -> DataFrame:
     """Long table with the keys (id, column) and every feature of :func:`feature_names`.
 
     Row features join once per record, before the record is spread over its cells.
     """
-    wide = df.join(row_features(df, spec, within), spec.id_col)
+    wide = df.join(row_features(df, spec, search), spec.id_col)
     cells = column_features(wide, spec, carry=ROW_FEATURES)
     return cells.select(
         "*", *[(F.col("column") == c).cast("int").alias(f"col_{c}") for c in spec.features]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,28 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths handed out within ``removed_after``, innermost last.
+_owned: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession) -> str:
-    return f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    if _owned:
+        _owned[-1].append(path)
+    return path
+
+
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables written inside when the block ends; nothing that reads them may leave it."""
+    _owned.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _owned.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(hadoop).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
