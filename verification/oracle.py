@@ -259,6 +259,19 @@ def nearest(spec: TableSpec, extra: str = "") -> str:
     )
 
 
+def keyed_pairs(spec: TableSpec) -> str:
+    """CTE pairs: the nearest earlier record that differs in one column at most."""
+    columns = [f"z_{c}" for c in spec.numbers] + [f"t_{c}" for c in spec.categories]
+    joins = []
+    for left_out in columns:
+        same = " AND ".join(f"a.{c} = b.{c}" for c in columns if c != left_out)
+        joins.append(f"SELECT a.id, b.id AS partner, {pair_distance(spec)} AS d FROM zs a JOIN zs b ON {same} AND b.id < a.id")
+    return (
+        "pairs AS MATERIALIZED (SELECT id, arg_min(partner, (d, partner)) AS partner, min(d) AS distance FROM ("
+        + " UNION ALL ".join(joins) + ") GROUP BY id)"
+    )
+
+
 def type_scores(pairs: str, types, level: str, method: str) -> str:
     """Scores from a (t, g, flagged) relation; one row per type."""
     rows = values_rows([(lit(e),) for e in types])

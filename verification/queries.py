@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from veritab.functions.hashing import column, draw
@@ -22,6 +25,7 @@ from veritab.operators import (
     forest,
     iforest,
     inject,
+    keyed,
     nearest,
     profile,
     rules,
@@ -29,11 +33,12 @@ from veritab.operators import (
     split,
 )
 from veritab.operators.quantiles import quantile_frame
-from veritab.plans.experiment import RULES, run_experiment
+from veritab.operators.rank import ordered_index
+from veritab.plans.experiment import CELL_FOREST, ROW_FOREST, RULES, run_experiment
 from veritab.plans.presets import CUSTOMER, EVENTS, LINEITEM, ORDERS, PART
 from veritab.session import materialize, scratch_path
 from veritab.sources import files
-from veritab.spec import CELL_ERROR_TYPES, ERROR_TYPES, ROW_ERROR_TYPES, TableSpec
+from veritab.spec import CELL_ERROR_TYPES, CLEAN, ERROR_TYPES, ROW_ERROR_TYPES, TableSpec
 from verification import oracle as sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,6 +224,50 @@ def b4(spark, folder):
     return numbered_lines(spark, folder).select("line_id", *LINE_COLUMNS)
 
 
+@query(
+    "b5_record_ids",
+    "SELECT 'orders' AS name, (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders) AS accepted "
+    "UNION ALL SELECT 'events', (SELECT count(*) = count(DISTINCT event_id) FROM events) "
+    "UNION ALL SELECT 'lineitem', (SELECT count(*) = count(DISTINCT l_orderkey) FROM lineitem)",
+)
+def b5(spark, folder):
+    """Whether each table's ids name its records."""
+    lines = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", LINEITEM.id_col)
+    frames = ((ORDERS, table(spark, folder, "orders")), (EVENTS, table(spark, folder, "events")), (LINEITEM, lines))
+    rows = []
+    for spec, df in frames:
+        try:
+            spec.check_ids(spec.validate(df))
+            rows.append((spec.name, True))
+        except ValueError:
+            rows.append((spec.name, False))
+    return spark.createDataFrame(rows, "name string, accepted boolean")
+
+
+_GAPPY = (
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'NaN'::DOUBLE ELSE o_totalprice END AS o_totalprice, "
+    "nullif(o_orderpriority, '5-LOW') AS o_orderpriority, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus FROM orders"
+)
+
+
+@query(
+    "d4_rules_on_gaps",
+    "SELECT o_orderkey, "
+    + ", ".join(
+        sql.rule_label(ORDERS, c, None).replace(f"{c} IS NULL", f"{c} IS NULL OR isnan({c}::DOUBLE)" if c in ORDERS.numbers else f"{c} IS NULL")
+        + f" AS {c}" for c in ORDERS.features
+    )
+    + f" FROM ({_GAPPY})",
+)
+def d4_gaps(spark, folder):
+    """NaN and NULL both count as missing."""
+    gaps = table(spark, folder, "orders").selectExpr(
+        "o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN double('NaN') ELSE o_totalprice END AS o_totalprice",
+        "nullif(o_orderpriority, '5-LOW') AS o_orderpriority", "o_custkey", "nullif(o_orderstatus, 'P') AS o_orderstatus",
+    )
+    return rules.cell_rule_mask(gaps, ORDERS)
+
+
 # --- C: injection ---------------------------------------------------------------------------
 
 
@@ -232,8 +281,8 @@ def _labelled_values(spark: SparkSession, folder: str, label: str, columns: list
 
 @query("c1_error_budget", INJ + " SELECT k AS n_errors FROM budget")
 def c1(spark, folder):
-    rows = table(spark, folder, "orders").agg(F.count(F.lit(1)).alias("n"))
-    return rows.select(F.greatest(F.lit(1), F.bround(F.lit(RATE) * F.col("n"))).cast("bigint").alias("n_errors"))
+    rows = table(spark, folder, "orders").count()
+    return spark.createDataFrame([(inject.error_budget(rows, RATE),)], "n_errors bigint")
 
 
 @query("c2_pick_cells", INJ + ' SELECT id AS o_orderkey, col AS "column", label FROM picks')
@@ -313,9 +362,15 @@ def c11(spark, folder):
     return injected(spark, folder).table
 
 
-@query("c12_shuffled_file_order", INJ + f" SELECT {_ID}, {FEATS} FROM inj")
+@query(
+    "c12_shuffled_file_order",
+    INJ + f" SELECT row_number() OVER (ORDER BY {sql.digest('shuffle', 'id')}) - 1 AS position, {_ID}, {FEATS} FROM inj",
+)
 def c12(spark, folder):
-    return inject.shuffle_rows(injected(spark, folder).table, "o_orderkey", SEED)
+    shuffled = inject.shuffle_rows(injected(spark, folder).table, "o_orderkey", SEED)
+    placed = shuffled.withColumn("_at", F.monotonically_increasing_id())
+    numbered, _ = ordered_index(materialize(placed), ["_at"], "position")
+    return numbered.select("position", "o_orderkey", *ORDERS.features)
 
 
 WIDE_TRUTH = ", ".join(f"coalesce(max(label) FILTER (WHERE col = '{c}'), '') AS {c}" for c in ORDERS.features)
@@ -555,7 +610,8 @@ _PART = "WITH " + sql.stats(PART, "part") + ",\n" + sql.scaled(PART, "part", "p_
     "FROM zs z LEFT JOIN pairs p ON p.id = z.id",
 )
 def e13(spark, folder):
-    return rounded(nearest.nearest_earlier(table(spark, folder, "part"), PART))
+    pairs = materialize(nearest.nearest_pairs(table(spark, folder, "part"), PART))
+    return rounded(nearest.nearest_earlier(pairs, "p_partkey"))
 
 
 _INJ_SCALED = INJ_STATS + ",\n" + sql.scaled(ORDERS, "inj", "id")
@@ -576,9 +632,7 @@ def orders_pairs(spark: SparkSession, folder: str) -> DataFrame:
     "FROM zs z LEFT JOIN pairs p ON p.id = z.id",
 )
 def e13_orders(spark, folder):
-    pairs = orders_pairs(spark, folder)
-    furthest = pairs.agg(F.max("distance")).first()[0]
-    return pairs.select("o_orderkey", r6(F.coalesce("distance", F.lit(furthest))).alias("nearest_earlier_dist"))
+    return rounded(nearest.nearest_earlier(orders_pairs(spark, folder), "o_orderkey"))
 
 
 @query(
@@ -599,6 +653,58 @@ def e14_radius(spark, folder):
     return rounded(nearest.nearest_pairs(injected(spark, folder).table, ORDERS, within=0.02))
 
 
+def orders_keyed(spark: SparkSession, folder: str) -> DataFrame:
+    return once(
+        spark, folder, "keyed pairs",
+        lambda: materialize(keyed.keyed_pairs(injected(spark, folder).table, ORDERS)),
+    )
+
+
+_INJ_KEYED = _INJ_SCALED + ",\n" + sql.keyed_pairs(ORDERS)
+
+
+@query(
+    "e14_keyed_pairs_orders",
+    _INJ_KEYED + " SELECT z.id AS o_orderkey, p.partner, p.distance "
+    "FROM zs z LEFT JOIN pairs p ON p.id = z.id",
+)
+def e14_keyed(spark, folder):
+    return orders_keyed(spark, folder)
+
+
+_ROW_FEATURES = (
+    "rowf AS MATERIALIZED (SELECT i.id, " + _COPY_WINDOWS.format(FEATS, "i.id") + ", "
+    "coalesce(p.distance, (SELECT max(distance) FROM pairs)) AS nearest_earlier_dist "
+    "FROM inj i LEFT JOIN pairs p ON p.id = i.id)"
+)
+
+
+@query(
+    "e10_e13_row_features_orders",
+    _INJ_KEYED + ",\n" + _ROW_FEATURES + " SELECT id AS o_orderkey, n_exact_copies, n_earlier_copies, nearest_earlier_dist FROM rowf",
+)
+def e10_rows(spark, folder):
+    return features.row_features(injected(spark, folder).table, ORDERS)
+
+
+_ALL_CELLS = ", ".join(f"(c.\"column\" = '{c}')::INT AS col_{c}" for c in ORDERS.features)
+
+
+@query(
+    "e15_full_cell_table_orders",
+    _INJ_KEYED + ",\n" + _ROW_FEATURES
+    + " SELECT c.*, r.n_exact_copies, r.n_earlier_copies, r.nearest_earlier_dist, " + _ALL_CELLS
+    + ", coalesce(t.label, 'clean') AS label FROM (" + sql.cell_features(ORDERS, "inj", "id AS o_orderkey") + ") c "
+    "JOIN rowf r ON r.id = c.o_orderkey LEFT JOIN truth t ON t.id = c.o_orderkey AND t.col = c.\"column\"",
+)
+def e15_full(spark, folder):
+    found = labelled_features(spark, folder)
+    # This distance is a multiple of 1e-9 already, and rounding twice would differ at halves.
+    return rounded(found.withColumn("nearest_earlier_dist", F.col("nearest_earlier_dist").cast("string"))).withColumn(
+        "nearest_earlier_dist", F.col("nearest_earlier_dist").cast("double")
+    )
+
+
 _PART_CELLS = "WITH " + sql.stats(PART, "part")
 
 
@@ -687,16 +793,68 @@ def f3(spark, folder):
 def row_forest(spark: SparkSession, folder: str) -> iforest.IsolationForest:
     return once(
         spark, folder, "row forest",
-        lambda: iforest.fit_isolation_forest(injected(spark, folder).table, ORDERS, trees=50, seed=SEED),
+        lambda: iforest.fit_isolation_forest(injected(spark, folder).table, ORDERS, seed=SEED),
     )
 
 
-@query("f4_isolation_forest_fit")
-def f4(spark, folder):
-    return spark.createDataFrame(
-        row_forest(spark, folder).nodes.drop(columns=["item"]).fillna({"field": ""}),
-        "tree int, node int, left int, right int, field string, split double, path double",
+_TREES, _PER_TREE = iforest.TREES, iforest.ROWS_PER_TREE
+
+
+@query(
+    "f4_tree_samples",
+    INJ + f" SELECT tree, id AS o_orderkey FROM (SELECT tree, id, row_number() OVER (PARTITION BY tree ORDER BY d, id) AS rn FROM ("
+    f"SELECT id, (4 * g + i)::INT AS tree, substr({sql.digest('tree', 'id', 'g')}, 8 * i + 1, 8) AS d "
+    f"FROM inj, range({-(-_TREES // 4)}) a(g), range(4) b(i)) WHERE tree < {_TREES}) "
+    f"WHERE rn <= least({_PER_TREE}, (SELECT count(*) FROM inj))",
+)
+def f4_samples(spark, folder):
+    _, rows = orders_matrix(spark, folder)
+    size = rows.count()
+    found = iforest._tree_samples(rows, "o_orderkey", size, _TREES, min(_PER_TREE, size), SEED)
+    return found.select("tree", "o_orderkey")
+
+
+@query(
+    "f4_isolation_forest_shape",
+    INJ + f" SELECT t::INT AS tree, least({_PER_TREE}, (SELECT count(*) FROM inj))::BIGINT AS rows, 1::BIGINT AS leaves_less_inner, true AS shallow "
+    f"FROM range({_TREES}) a(t)",
+)
+def f4_shape(spark, folder):
+    """Every tree is binary, no deeper than its limit, and its leaves hold its whole sample."""
+    found = row_forest(spark, folder)
+    nodes = spark.createDataFrame(
+        found.nodes.assign(item=found.nodes["item"].astype(object)).fillna({"field": ""})[["tree", "node", "left", "right", "field"]],
+        "tree int, node int, left int, right int, field string",
     )
+    leaf = F.col("left") < 0
+    sizes = leaf_sizes(spark, folder)
+    limit = math.ceil(math.log2(max(found.rows_per_tree, 2)))
+    counted = nodes.groupBy("tree").agg((F.count_if(leaf) - F.count_if(~leaf)).alias("leaves_less_inner"))
+    return counted.join(sizes, "tree").select("tree", "rows", "leaves_less_inner", (F.col("depth") <= limit).alias("shallow"))
+
+
+def leaf_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """(tree, rows, depth): the sample rows that reach a leaf, and the deepest leaf, by walking the nodes."""
+    found = row_forest(spark, folder)
+    matrix, rows = orders_matrix(spark, folder)
+    size = rows.count()
+    samples = iforest._tree_samples(rows, "o_orderkey", size, _TREES, found.rows_per_tree, SEED)
+    nodes = {t: g.to_dict("records") for t, g in found.nodes.sort_values("node").groupby("tree")}
+    numeric = set(matrix.numeric_fields)
+
+    def walk(group):
+        tree = nodes[int(group["tree"].iloc[0])]
+        deepest = 0
+        for row in group.to_dict("records"):
+            node, depth = tree[0], 0
+            while node["left"] >= 0:
+                value = row[node["field"]]
+                right = value > node["split"] if node["field"] in numeric else value == node["item"]
+                node, depth = tree[node["right" if right else "left"]], depth + 1
+            deepest = max(deepest, depth)
+        return pd.DataFrame([(int(group["tree"].iloc[0]), len(group), deepest)], columns=["tree", "rows", "depth"])
+
+    return samples.groupBy("tree").applyInPandas(walk, "tree int, rows bigint, depth int")
 
 
 def row_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -711,6 +869,31 @@ def f5(spark, folder):
     return rounded(row_scores(spark, folder))
 
 
+_PATHS = [
+    "CASE WHEN x > 1.0 THEN CASE WHEN s = 'P' THEN 5.5 ELSE 3.0 END ELSE 1.25 END",
+    "CASE WHEN miss > 0.5 THEN 1.0 ELSE 4.0 END",
+]
+
+
+@query(
+    "f5_scores_of_given_trees",
+    INJ_STATS + f""" SELECT id AS o_orderkey, round(pow(2.0, -(({') + ('.join(_PATHS)})) / 2.0 / {iforest.average_path(256)!r}), 6) AS score
+      FROM (SELECT id, (coalesce(o_totalprice, med_o_totalprice) - med_o_totalprice) / ({_iqr_width('o_totalprice')}) AS x,
+            (o_custkey IS NULL)::INT AS miss, coalesce(o_orderstatus, {_mode('o_orderstatus')}) AS s FROM inj, st)""",
+)
+def f5_given(spark, folder):
+    """The scorer on two trees that are written down here."""
+    matrix, _ = orders_matrix(spark, folder)
+    rows = [
+        (0, 0, 1, 2, "x_o_totalprice", 1.0, None, 0.0), (0, 1, -1, -1, None, None, None, 1.25),
+        (0, 2, 3, 4, "cat_o_orderstatus", None, "P", 0.0), (0, 3, -1, -1, None, None, None, 3.0),
+        (0, 4, -1, -1, None, None, None, 5.5), (1, 0, 1, 2, "miss_o_custkey", 0.5, None, 0.0),
+        (1, 1, -1, -1, None, None, None, 4.0), (1, 2, -1, -1, None, None, None, 1.0),
+    ]
+    nodes = pd.DataFrame(rows, columns=["tree", "node", "left", "right", "field", "split", "item", "path"])
+    return rounded(iforest.IsolationForest(matrix, nodes, 256).score(injected(spark, folder).table))
+
+
 @query(
     "f6_review_budget_events",
     "SELECT event_id, value > (SELECT quantile_cont(value, 0.9) FROM events) AS flagged FROM events",
@@ -746,28 +929,50 @@ def cell_forest(spark: SparkSession, folder: str) -> tuple[forest.CellForest, Da
     def build():
         labelled = labelled_features(spark, folder)
         sides = split.split_by_record(injected(spark, folder).table, "o_orderkey", 0.3, SEED)
-        model = forest.train_forest(sides.train(labelled), ORDERS, trees=10, depth=8)
+        # One feature decides this label, so what a sound forest says about unseen records is known.
+        easy = labelled.withColumn("label", F.when(F.col("is_null") == 1, "missing").otherwise(CLEAN))
+        model = forest.train_forest(sides.train(easy), ORDERS)
         return model, materialize(model.predict(sides.test(labelled)))
 
     return once(spark, folder, "cell forest", build)
 
 
-@query("f9_f10_cell_forest_predictions")
+_TEST_IDS = (
+    f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY {sql.digest('split', 'id')}) AS rn, count(*) OVER () AS n FROM inj) "
+    "WHERE rn <= ceil(0.3::DOUBLE * n)"
+)
+_GONE = f"SELECT id, col FROM pick_missing WHERE id IN ({_TEST_IDS})"
+
+
+@query("f9_f10_cell_forest_predictions", INJ + f" SELECT id AS o_orderkey, col AS \"column\", 'missing' AS label FROM ({_GONE})")
 def f9(spark, folder):
     return cell_forest(spark, folder)[1]
 
 
+_GONE_MASK = ", ".join(f"coalesce(max('missing') FILTER (WHERE col = '{c}'), '') AS {c}" for c in ORDERS.features)
+
+
 @query(
     "f11_predictions_to_mask",
-    RULED + f" SELECT i.id AS o_orderkey, {WIDE_TRUTH} FROM inj i LEFT JOIN said s ON s.id = i.id GROUP BY i.id",
+    INJ + f" SELECT i.id AS o_orderkey, {_GONE_MASK} FROM inj i LEFT JOIN ({_GONE}) s ON s.id = i.id GROUP BY i.id",
 )
 def f11(spark, folder):
-    return cells.wide_mask(rule_cells(spark, folder), injected(spark, folder).table, ORDERS)
+    return cells.wide_mask(cell_forest(spark, folder)[1], injected(spark, folder).table, ORDERS)
 
 
-@query("f12_feature_importances")
+@query(
+    "f12_feature_importances",
+    "SELECT unnest([" + sql.names(features.feature_names(ORDERS)) + "]) AS feature, 1.0::DOUBLE AS total, true AS ordered",
+)
 def f12(spark, folder):
-    return rounded(cell_forest(spark, folder)[0].importances())
+    """Every feature is named once; the weights are in falling order and add up to one."""
+    names = features.feature_names(ORDERS)
+    found = cell_forest(spark, folder)[0].importances(top=len(names)).collect()
+    weights = [r["importance"] for r in found]
+    ordered = weights == sorted(weights, reverse=True) and min(weights) >= 0
+    return spark.createDataFrame(
+        [(r["feature"], round(sum(weights), 6), ordered) for r in found], "feature string, total double, ordered boolean"
+    )
 
 
 # --- G: scoring -----------------------------------------------------------------------------
@@ -817,12 +1022,6 @@ def g4(spark, folder):
 _SAID_IDS = "SELECT id FROM said"
 
 
-@query("g6_row_scores", SCORED + _rounded_scores(sql.row_scores(_SAID_IDS, RULES)))
-def g6(spark, folder):
-    found = score.score_rows(injected(spark, folder).row_truth, rule_cells(spark, folder), "o_orderkey", RULES)
-    return rounded(found.drop("roc_auc"))
-
-
 def _auc_sql(rows: str, score_col: str, label_col: str, positive: str) -> str:
     """Rank-sum form with mid-ranks for ties."""
     return (
@@ -833,6 +1032,21 @@ def _auc_sql(rows: str, score_col: str, label_col: str, positive: str) -> str:
     )
 
 
+_PRICED = "(SELECT coalesce(i.o_totalprice, 0) AS price, CASE WHEN r.is_dirty THEN 'y' ELSE 'n' END AS dirty FROM inj i JOIN row_truth r ON r.id = i.id)"
+
+
+@query(
+    "g6_row_scores",
+    SCORED + _rounded_scores(sql.row_scores(_SAID_IDS, RULES)).replace(
+        " FROM (", f", {sql.r6(_auc_sql(_PRICED, 'price', 'dirty', 'y'))} AS roc_auc FROM (", 1
+    ),
+)
+def g6(spark, folder):
+    found = injected(spark, folder)
+    prices = found.table.select("o_orderkey", F.coalesce("o_totalprice", F.lit(0.0)).alias("score"))
+    return rounded(score.score_rows(found.row_truth, rule_cells(spark, folder), "o_orderkey", RULES, prices))
+
+
 @query("g7_roc_auc_events", f"SELECT {sql.r6(_auc_sql('events', 'value', 'event_type', 'purchase'))} AS roc_auc")
 def g7(spark, folder):
     rows = table(spark, folder, "events").select("value", (F.col("event_type") == "purchase").alias("bought"))
@@ -854,7 +1068,7 @@ _TYPE_ROWS = sql.values_rows([(sql.lit(e),) for e in ERROR_TYPES])
 @query(
     "g8_unsupervised_by_type",
     INJ + f""", top AS (SELECT id FROM inj WHERE coalesce(o_totalprice, 0) > 450000)
-      SELECT 'Isolation Forest' AS method, e.error_type, 'row' AS level, count(t.id) AS support,
+      SELECT 'Price threshold' AS method, e.error_type, 'row' AS level, count(t.id) AS support,
              NULL::DOUBLE AS precision, NULL::DOUBLE AS recall, NULL::DOUBLE AS f1,
              {sql.r6("avg(CASE WHEN t.id IS NULL THEN NULL WHEN t.id IN (SELECT id FROM top) THEN 1.0::DOUBLE ELSE 0.0 END)")} AS recall_any
       FROM (VALUES {_TYPE_ROWS}) e(error_type) LEFT JOIN (SELECT DISTINCT id, label FROM truth) t ON t.label = e.error_type
@@ -863,13 +1077,7 @@ _TYPE_ROWS = sql.values_rows([(sql.lit(e),) for e in ERROR_TYPES])
 def g8(spark, folder):
     found = injected(spark, folder)
     flagged = found.table.filter("o_totalprice > 450000").select("o_orderkey")
-    return rounded(score.unsupervised_by_type(found.cell_truth, flagged, ORDERS, "Isolation Forest"))
-
-
-_TEST_IDS = (
-    f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY {sql.digest('split', 'id')}) AS rn, count(*) OVER () AS n FROM inj) "
-    "WHERE rn <= ceil(0.3::DOUBLE * n)"
-)
+    return rounded(score.unsupervised_by_type(found.cell_truth, flagged, ORDERS, "Price threshold"))
 
 
 def test_side(spark: SparkSession, folder: str) -> DataFrame:
@@ -904,15 +1112,15 @@ def rule_results(spark: SparkSession, folder: str) -> DataFrame:
     return once(spark, folder, "rule results", build)
 
 
-def _held_out_sql() -> str:
+def _held_out_sql(spec: TableSpec = ORDERS) -> str:
     """CTE result: the same two detectors scored on the held-out rows."""
-    ctes = RULED + f""",
+    ctes = sql.injected(spec, spec.name) + sql.rules(spec) + f""",
 test AS MATERIALIZED ({_TEST_IDS}),
 tt AS MATERIALIZED (SELECT * FROM truth WHERE id IN (SELECT id FROM test)),
 rt AS MATERIALIZED (SELECT * FROM row_truth WHERE id IN (SELECT id FROM test)),
 s1 AS MATERIALIZED (SELECT * FROM said WHERE id IN (SELECT id FROM test)),
 s2 AS MATERIALIZED (SELECT * FROM s1 WHERE label = 'missing')"""
-    half = f"count(*) * 2 > {len(ORDERS.features)}"
+    half = f"count(*) * 2 > {len(spec.features)}"
     parts = []
     for s, method in (("s1", RULES), ("s2", _NULLS_ONLY)):
         ctes += f""",
@@ -938,11 +1146,62 @@ def g10(spark, folder):
     return rule_results(spark, folder)
 
 
-@query("g11_experiment")
+_DETECTORS = sql.values_rows(
+    [(sql.lit(m), i) for i, m in enumerate((RULES, CELL_FOREST, ROW_FOREST))]
+)
+
+
+@query(
+    "g11_experiment",
+    _held_out_sql(PART) + f""" SELECT m.method, r.error_type, CASE WHEN m.i = 2 THEN 'row' ELSE r.level END AS level, r.support,
+        CASE WHEN m.i = 0 THEN r.precision END AS rule_precision, CASE WHEN m.i = 0 THEN r.recall END AS rule_recall,
+        CASE WHEN m.i = 0 THEN r.f1 END AS rule_f1 FROM (VALUES {_DETECTORS}) m(method, i), result r
+      WHERE r.method = '{RULES}' AND (m.i < 2 OR r.error_type = 'any_error')
+      UNION ALL SELECT '{ROW_FOREST}', e.error_type, 'row', (SELECT count(DISTINCT id) FROM tt WHERE label = e.error_type), NULL, NULL, NULL
+      FROM (VALUES {_TYPE_ROWS}) e(error_type)""",
+)
 def g11(spark, folder):
-    return run_experiment(
-        table(spark, folder, "part"), PART, trees=10, depth=8, row_trees=50, within=0.1
-    ).results
+    """The whole comparison; its rule rows and all supports are known from SQL."""
+    results = run_experiment(table(spark, folder, "part"), PART).results
+    ruled = F.col("method") == RULES
+    return results.select(
+        "method", "error_type", "level", "support",
+        *[F.when(ruled, F.col(m)).alias(f"rule_{m}") for m in ("precision", "recall", "f1")],
+    )
+
+
+_SEEDS = (42, 43, 44)
+_BY_SEED = " UNION ALL ".join(
+    "SELECT * FROM (" + sql.injected(ORDERS, "orders", seed=s) + sql.rules(ORDERS) + sql.scoring(ORDERS)
+    + f" SELECT method, error_type, support, {', '.join(f'round_even({m}, 3) AS {m}' for m in score.METRICS)}, roc_auc FROM ("
+    + " UNION ALL ".join(
+        f"SELECT *, NULL::DOUBLE AS roc_auc FROM ({sql.type_scores(p, types, level, RULES)})"
+        for p, types, level in (("cell_pairs", CELL_ERROR_TYPES, "cell"), ("dup_pairs", ROW_ERROR_TYPES, "row"))
+    )
+    + f" UNION ALL {sql.row_scores('SELECT id FROM said', RULES)}))"
+    for s in _SEEDS
+)
+
+
+@query(
+    "g12_repeated_rule_runs",
+    f"WITH runs AS ({_BY_SEED}) SELECT method, error_type, sum(support)::BIGINT AS support_total, "
+    "round_even(avg(precision), 3) AS precision_mean, round_even(avg(recall), 3) AS recall_mean, "
+    "round_even(avg(f1), 3) AS f1_mean, round_even(stddev_samp(f1), 3) AS f1_std, "
+    "round_even(avg(recall_any), 3) AS recall_any_mean, round_even(avg(roc_auc), 3) AS roc_auc_mean "
+    "FROM runs GROUP BY method, error_type",
+)
+def g12_seeds(spark, folder):
+    """New errors for every seed, found by the rules, scored and summarised."""
+    runs = []
+    for s in _SEEDS:
+        found = inject.inject_errors(table(spark, folder, "orders"), ORDERS, RATE, s)
+        said = rules.rule_cells(found.table, ORDERS)
+        runs.append(score.result_table([
+            score.score_by_type(found.cell_truth, said, ORDERS, RULES),
+            score.score_rows(found.row_truth, said, "o_orderkey", RULES),
+        ]))
+    return score.summarize_runs(reduce(DataFrame.unionByName, runs))
 
 
 _RUNS = (
@@ -1037,14 +1296,31 @@ def h4(spark, folder):
     return score.dirty_examples(found.table, found.mask, "o_orderkey", 6)
 
 
-@query("h5_leakage_check", "SELECT o_orderkey FROM orders WHERE false")
+@query(
+    "h5_leakage_check",
+    "SELECT (SELECT count(*) FROM orders) - t AS train, t AS test, 0::BIGINT AS shared, t AS planted "
+    "FROM (SELECT ceil(0.3::DOUBLE * count(*))::BIGINT AS t FROM orders)",
+)
 def h5(spark, folder):
+    """Sizes of the sides and of what they share; the last column shares one side on purpose."""
     orders = table(spark, folder, "orders")
     sides = split.split_by_record(orders, "o_orderkey", 0.3, SEED)
-    return split.shared_records(sides.train(orders), sides.test(orders), "o_orderkey")
+    train, test = sides.train(orders), sides.test(orders)
+    counts = (
+        train.count(), test.count(), split.shared_records(train, test, "o_orderkey").count(),
+        split.shared_records(orders, test, "o_orderkey").count(),
+    )
+    return spark.createDataFrame([counts], "train bigint, test bigint, shared bigint, planted bigint")
 
 
-@query("h6_same_rows_twice", INJ + f" SELECT {_ID}, {FEATS} FROM inj WHERE false")
+@query("h6_same_rows_twice", INJ + " SELECT (SELECT count(*) FROM inj) AS n, 0::BIGINT AS tables, 0::BIGINT AS scores")
 def h6(spark, folder):
-    again = inject.inject_errors(table(spark, folder, "orders").repartition(5), ORDERS, RATE, SEED)
-    return score.same_rows(injected(spark, folder).table, again.table)
+    """Rows that differ when the table is corrupted, and the row forest fitted and applied, once more."""
+    again = inject.inject_errors(table(spark, folder, "orders").repartition(5), ORDERS, RATE, SEED).table
+    scores = iforest.fit_isolation_forest(again, ORDERS, seed=SEED).score(again.repartition(3))
+    first = injected(spark, folder).table
+    counts = (
+        first.count(), score.same_rows(first, again).count(),
+        score.same_rows(rounded(row_scores(spark, folder)), rounded(scores)).count(),
+    )
+    return spark.createDataFrame([counts], "n bigint, tables bigint, scores bigint")
