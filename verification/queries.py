@@ -105,9 +105,7 @@ def rule_cells(spark: SparkSession, folder: str) -> DataFrame:
 def labelled_features(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
         found = injected(spark, folder)
-        return materialize(
-            features.cell_labels(features.build_cell_features(found.table, ORDERS), found.cell_truth, ORDERS)
-        )
+        return materialize(features.build_cell_features(found.table, ORDERS, mask=found.mask))
 
     return once(spark, folder, "cell features", build)
 

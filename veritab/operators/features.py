@@ -49,8 +49,8 @@ def row_features(df: DataFrame, spec: TableSpec, search: str = "keyed") -> DataF
     )
 
 
-def _number_features(name: str, spec: TableSpec, stats: ColumnStats) -> dict[str, Column]:
-    x, zero = F.col(name).cast("double"), F.lit(0.0)
+def _number_features(name: str, spec: TableSpec, stats: ColumnStats, x: Column) -> dict[str, Column]:
+    zero = F.lit(0.0)
     known = stats.median is not None
     centre = F.lit(stats.median if known else 0.0)
     span = spec.ranges.get(name)
@@ -65,8 +65,7 @@ def _number_features(name: str, spec: TableSpec, stats: ColumnStats) -> dict[str
     }
 
 
-def _category_features(name: str, spec: TableSpec, lowercase_labels: bool) -> dict[str, Column]:
-    text = F.col(name)
+def _category_features(name: str, spec: TableSpec, lowercase_labels: bool, text: Column) -> dict[str, Column]:
     allowed = spec.allowed.get(name, ())
     valid = text.isin(*allowed) if allowed else F.lit(True)
     wrong_case = has_case_mismatch(text) if lowercase_labels else differs_by_case_only(text, allowed)
@@ -102,48 +101,64 @@ def value_table(df: DataFrame, spec: TableSpec) -> DataFrame:
     return counts.withColumn("edit_dist_to_allowed", distance)
 
 
-def column_features(df: DataFrame, spec: TableSpec, carry: Sequence[str] = ()) -> DataFrame:
-    """Long table (id, column, ten column features), plus the columns of ``df`` to carry along."""
+def column_features(df: DataFrame, spec: TableSpec, carry: Sequence[str] = (), labels: str | None = None) -> DataFrame:
+    """Long table (id, column, ten column features), plus the columns of ``df`` to carry along.
+
+    Cells cross the exchange of the value lookup as (id, column, value) only; all features follow
+    from these and are computed behind it. With ``labels``, the prefix of the columns of ``df`` that
+    hold each cell's label, the result has a ``label`` as well.
+    """
     df = nan_as_missing(df, spec.numbers)
     stats = column_stats(df, spec.numbers)
     lowercase = uses_lowercase_labels(spec)
     blocks = []
     for c in spec.features:
-        if c in spec.categories:
-            features = _category_features(c, spec, lowercase)
-        else:
-            features = _number_features(c, spec, stats[c])
-        blocks.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                cell_key(c, spec).alias("key"),
-                F.col(c).isNull().cast("int").alias("is_null"),
-                *[f.alias(n) for n, f in features.items()],
-            )
-        )
+        number = F.lit(None) if c in spec.categories else F.col(c)
+        block = [F.lit(c).alias("column"), cell_key(c, spec).alias("key"), number.cast("double").alias("_x")]
+        if labels is not None:
+            block.append(F.col(f"{labels}{c}").alias("label"))
+        blocks.append(F.struct(*block))
     cells = df.select(spec.id_col, *carry, F.explode(F.array(*blocks)).alias("cell")).select(
         spec.id_col, *carry, "cell.*"
     )
     found = heavy_lookup(cells, value_table(df, spec), ["column", "key"], "n", spec.id_col)
+    x, text = F.col("_x"), F.col("key")
+    per_column = {
+        c: _category_features(c, spec, lowercase, text) if c in spec.categories else _number_features(c, spec, stats[c], x)
+        for c in spec.features
+    }
+
+    def chosen(feature: str) -> Column:
+        out = None
+        for c, features in per_column.items():
+            here = F.col("column") == c
+            out = F.when(here, features[feature]) if out is None else out.when(here, features[feature])
+        return out.alias(feature)
+
     return found.select(
         spec.id_col,
         "column",
-        "is_null",
+        text.isNull().cast("int").alias("is_null"),
         F.coalesce("value_freq", F.lit(0.0)).alias("value_freq"),
-        *COLUMN_FEATURES[2:7],
+        *map(chosen, COLUMN_FEATURES[2:7]),
         F.coalesce("edit_dist_to_allowed", F.lit(0)).alias("edit_dist_to_allowed"),
-        *COLUMN_FEATURES[8:],
+        *map(chosen, COLUMN_FEATURES[8:]),
         *carry,
+        *([F.when(F.col("label") == "", CLEAN).otherwise(F.coalesce("label", F.lit(CLEAN))).alias("label")] if labels is not None else []),
     )
 
 
-def build_cell_features(df: DataFrame, spec: TableSpec, search: str = "keyed") -> DataFrame:
+def build_cell_features(df: DataFrame, spec: TableSpec, search: str = "keyed", mask: DataFrame | None = None) -> DataFrame:
     """Long table with the keys (id, column) and every feature of :func:`feature_names`.
 
-    Row features join once per record, before the record is spread over its cells.
+    Row features join once per record, before the record is spread over its cells, and so does the
+    wide ``mask`` of true labels if one is given; the result then has a ``label``.
     """
-    wide = df.join(row_features(df, spec, search), spec.id_col)
-    cells = column_features(wide, spec, carry=ROW_FEATURES)
+    wide, labels = df.join(row_features(df, spec, search), spec.id_col), None
+    if mask is not None:
+        labels = "_label_"
+        wide = wide.join(mask.select(spec.id_col, *[F.col(c).alias(f"{labels}{c}") for c in spec.features]), spec.id_col, "left")
+    cells = column_features(wide, spec, ROW_FEATURES, labels)
     return cells.select(
         "*", *[(F.col("column") == c).cast("int").alias(f"col_{c}") for c in spec.features]
     )

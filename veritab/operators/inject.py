@@ -72,27 +72,76 @@ def _picked_label(spec: TableSpec, seed: int, cutoffs: Mapping[str, str], name:
     return f"CASE WHEN {column(name)} IS NULL THEN NULL {' '.join(hits)} END" if hits else "CAST(NULL AS STRING)"
 
 
-def cell_candidates(
-    df: DataFrame, spec: TableSpec, seed: int, cutoffs: Mapping[str, str], columns: Sequence[str]
-) -> DataFrame:
-    """(id, column) of the cells of ``columns`` that hold a value and are not corrupted yet."""
-    free = ", ".join(
-        f"CASE WHEN {column(c)} IS NOT NULL AND {_picked_label(spec, seed, cutoffs, c)} IS NULL "
-        f"THEN {text(c)} END"
-        for c in columns
-    )
-    return df.selectExpr(column(spec.id_col), f"explode(array({free})) AS column").filter("column IS NOT NULL")
+#: How many times the wanted share of draws passes a first cut; widened if that is too little.
+_MARGIN = 4
+
+
+def _first_cut(wanted: int, candidates: int, margin: int) -> str:
+    """A draw below which about ``margin`` times the wanted number of candidates lies."""
+    share = margin * wanted / max(candidates, 1)
+    return "g" if share >= 1 else format(int(share * 16**12), "012x")
+
+
+def low_draws(df: DataFrame, spec: TableSpec, seed: int, n_errors: int, margin: int) -> tuple[DataFrame, bool]:
+    """One row per cell with a low draw in any stage: the draw of each stage, NULL above its cut.
+
+    The flag tells whether nothing was cut off.
+    """
+    stages = {stage: columns for stage, columns in stage_columns(spec).items() if columns}
+    present = df.agg(*[F.count(c).alias(c) for c in spec.features]).first()
+    cuts = {s: _first_cut(n_errors, sum(present[c] for c in columns), margin) for s, columns in stages.items()}
+    cells = []
+    for c in spec.features:
+        draws = []
+        for stage, columns in stages.items():
+            value = _cell_draw(spec, seed, stage, c)
+            low = f"CASE WHEN {column(c)} IS NOT NULL AND {value} < '{cuts[stage]}' THEN {value} END"
+            draws.append(f"{text(stage)}, {low if c in columns else 'CAST(NULL AS STRING)'}")
+        cells.append(f"named_struct({', '.join(draws)})")
+    exploded = df.selectExpr(f"explode(array({', '.join(cells)})) AS cell").select("cell.*")
+    some = " OR ".join(f"{stage} IS NOT NULL" for stage in stages)
+    return materialize(exploded.filter(some)), all(cut == "g" for cut in cuts.values())
 
 
 def pick_cells(df: DataFrame, spec: TableSpec, seed: int, n_errors: int) -> dict[str, str]:
-    """The cutoff of each cell error type; later types only see cells left clean by earlier ones."""
-    cutoffs: dict[str, str] = {}
-    for stage, columns in stage_columns(spec).items():
-        if columns:
-            cells = cell_candidates(df, spec, seed, cutoffs, columns)
-            digest = F.expr(draw(seed, stage, column(spec.id_col), "column"))
-            cutoffs[stage] = digest_cutoffs(cells, digest, [n_errors])[0]
-    return cutoffs
+    """The cutoff of each cell error type; later types only see cells left clean by earlier ones.
+
+    One scan keeps the low draws of all stages; the cutoffs are found on that small table. Should it
+    hold too few free cells for a stage, it is drawn anew with a wider cut.
+    """
+    margin = _MARGIN
+    while True:
+        cells, whole = low_draws(df, spec, seed, n_errors, margin)
+        cutoffs: dict[str, str] = {}
+        try:
+            for stage, columns in stage_columns(spec).items():
+                if columns:
+                    free = cells.filter(F.col(stage).isNotNull())
+                    for earlier, cutoff in cutoffs.items():
+                        free = free.filter(F.col(earlier).isNull() | (F.col(earlier) > cutoff))
+                    cutoffs[stage] = digest_cutoffs(free, F.col(stage), [n_errors])[0]
+            return cutoffs
+        except ValueError:
+            if whole:
+                raise
+            margin *= 4
+
+
+def pick_rows(sources: DataFrame, size: int, n_errors: int, changeable: str) -> tuple[str, str]:
+    """Cutoffs of the exact and the near copies among rows with a ``_digest``, from one scan."""
+    margin = 2 * _MARGIN
+    while True:
+        cut = _first_cut(n_errors, size, margin)
+        low = materialize(sources.select("_digest", F.expr(changeable).alias("changeable")).filter(F.col("_digest") < cut))
+        try:
+            exact_end = digest_cutoffs(low, F.col("_digest"), [n_errors])[0]
+            # Near copies come from the rows behind, as far as these hold a value that can change.
+            behind = low.filter((F.col("_digest") > exact_end) & F.col("changeable"))
+            return exact_end, digest_cutoffs(behind, F.col("_digest"), [n_errors])[0]
+        except ValueError:
+            if cut == "g":
+                raise
+            margin *= 4
 
 
 def clean_rows(df: DataFrame, spec: TableSpec, seed: int, cutoffs: Mapping[str, str]) -> DataFrame:
@@ -199,10 +248,7 @@ def inject_errors(df: DataFrame, spec: TableSpec, rate: float = 0.05, seed: int
     sources = clean_rows(base, spec, seed, cutoffs).withColumn(
         "_digest", F.expr(_row_draw(spec, seed, "duplicate"))
     )
-    exact_end = digest_cutoffs(sources, F.col("_digest"), [n_errors])[0]
-    # Near copies come from the rows behind, as far as these hold a value that can change.
-    behind = sources.filter((F.col("_digest") > exact_end) & F.expr(_changeable(spec)))
-    near_end = digest_cutoffs(behind, F.col("_digest"), [n_errors])[0]
+    exact_end, near_end = pick_rows(sources, size["rows"], n_errors, _changeable(spec))
     picked = (F.col("_digest") <= exact_end) | ((F.col("_digest") <= near_end) & F.expr(_changeable(spec)))
     chosen = digest_rank(sources.filter(picked), "_digest", "_rank")
     near = f"_digest > '{exact_end}'"
