@@ -2,9 +2,10 @@
 
 Method: sets are partitioned into groups of similar ones (equal smallest token, at most ``GROUP``
 members). For each group the matrix holds the union of its members' tokens, stored over hashed token
-columns as one bit vector. How many tokens a query can share with any member is at most its size
-less its columns that the group lacks; only groups that can reach the threshold are opened, and
-there the query is compared with every member exactly.
+columns as one bit vector of at least twice as many bits as a member has tokens. How many tokens a
+query can share with any member is at most its size less its columns that the group lacks; only
+groups that can reach the threshold are opened, and there the query is compared with every member
+exactly.
 
 Which (query, group) entries are looked at at all follows from prefixes: with all tokens in one order,
 two sets that link share a token among the first n - ceil(t n) + 1 of each. Frequent tokens come last
@@ -39,8 +40,10 @@ FREQUENT = 64
 #: At most so many frequent tokens (the most frequent ones) are known to every task: 8 MB.
 FREQUENT_MAX = 1 << 20
 GROUP = 64
-COLUMNS = 2048
-WORDS = [f"w{i}" for i in range(COLUMNS // 64)]
+#: Sets of which the unions of groups are made by one task, about.
+UNION_SETS = 20_000
+#: Code points that a task shingles at once.
+CHUNK = 1_000_000
 #: Tokens that a task holds at once when it opens groups, about.
 OPEN_TOKENS = 1 << 20
 STAR_KEYS = 4
@@ -110,7 +113,7 @@ def _sets(batches: Iterator[pa.RecordBatch], wanted: Callable | None = None) ->
     met: set[int] = set()
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        for a, b in W.chunks(texts):
+        for a, b in W.chunks(texts, CHUNK):
             token, bounds = shingle_sets(texts[a:b])
             size = np.diff(bounds)
             names = set_names(token, bounds)
@@ -132,33 +135,45 @@ def _picked(token: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[n
     return picked, owner, np.arange(len(picked)) - np.repeat(np.cumsum(size) - size, size)
 
 
+def columns_of(token: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> list[bytes]:
+    """The bit vector of each chosen set: a power of two of columns, at least twice its size."""
+    own, owner, _ = _picked(token, bounds, which)
+    size = np.diff(bounds)[which]
+    width = 1 << np.ceil(np.log2(np.maximum(2 * size, 64))).astype(np.int64)
+    start = np.cumsum(width) - width
+    bits = np.zeros(int(width.sum()), bool)
+    bits[start[owner] + (own & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+    data = np.packbits(bits, bitorder="little").tobytes()
+    return [data[a // 8 : (a + w) // 8] for a, w in zip(start.tolist(), width.tolist())]
+
+
+def folded_to(columns: np.ndarray, size: int) -> np.ndarray:
+    """The same set over fewer columns."""
+    return np.bitwise_or.reduce(columns.reshape(-1, size), axis=0) if len(columns) > size else columns
+
+
 def described(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per document: id, text_hash, n_shingles, set name; per set once in a task also f and its columns."""
+    """Per document: id, text_hash, n, set name; per set once in a task also its least token and columns."""
     id_type = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, token, bounds, names, size, new in _sets(batches):
-            for x in range(a, b, 1024):
-                y = min(b, x + 1024)
-                part = slice(x - a, y - a)
-                own, owner, _ = _picked(token, bounds, np.arange(x - a, y - a))
-                bits = np.zeros((y - x, COLUMNS), bool)
-                bits[owner, (own & np.uint64(COLUMNS - 1)).astype(np.int64)] = True
-                words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-                empty, old = size[part] == 0, ~new[part]
-                least = np.zeros(y - x, np.int64)
-                least[~empty] = token[bounds[:-1][part][~empty]].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id")[x:y], batch.column("text_hash")[x:y], pa.array(size[part].astype(np.int64)),
-                        pa.array(names[part], mask=empty), pa.array(least, mask=old),
-                        *(pa.array(words[:, i].copy(), mask=old) for i in range(len(WORDS))),
-                    ],
-                    ["id", "text_hash", "n", "name", "least", *WORDS],
-                )
-
-    schema = f"id {id_type}, text_hash long, n long, name long, least long, " + ", ".join(f"{w} long" for w in WORDS)
+            empty, which = size == 0, np.flatnonzero(new)
+            least = np.zeros(b - a, np.int64)
+            least[~empty] = token[bounds[:-1][~empty]].view(np.int64)
+            columns: list[bytes | None] = [None] * (b - a)
+            for i, data in zip(which.tolist(), columns_of(token, bounds, which)):
+                columns[i] = data
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id")[a:b], batch.column("text_hash")[a:b], pa.array(size.astype(np.int64)),
+                    pa.array(names, mask=empty), pa.array(least, mask=~new), pa.array(columns, pa.binary()),
+                ],
+                ["id", "text_hash", "n", "name", "least", "columns"],
+            )
+
+    schema = f"id {id_type}, text_hash long, n long, name long, least long, columns binary"
     return rows.mapInArrow(run, schema)
 
 
@@ -215,7 +230,9 @@ def _ordered(token: np.ndarray, bounds: np.ndarray, which: np.ndarray, frequent:
     return own[order][keep], owner[keep], place[keep], often[order][keep], size, rare, own, owner, often
 
 
-POSTING = "token long, name long, n long, place long"
+def sized(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Size and place in one number, which halves what a posting carries besides its names."""
+    return n.astype(np.int64) << 32 | place
 
 
 def rare_postings(text: DataFrame, frequent: Broadcast, parts: int) -> DataFrame:
@@ -225,11 +242,11 @@ def rare_postings(text: DataFrame, frequent: Broadcast, parts: int) -> DataFrame
             own, owner, place, often, size, *_ = _ordered(token, bounds, which, frequent.value, parts)
             own, owner, place = own[~often], owner[~often], place[~often]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own.view(np.int64)), pa.array(names[which][owner]), pa.array(size[owner]), pa.array(place)],
-                ["token", "name", "n", "place"],
+                [pa.array(own.view(np.int64)), pa.array(names[which][owner]), pa.array(sized(size[owner], place))],
+                ["token", "name", "sized"],
             )
 
-    return text.mapInArrow(run, POSTING)
+    return text.mapInArrow(run, "token long, name long, sized long")
 
 
 def frequent_postings(text: DataFrame, frequent: Broadcast, parts: int) -> DataFrame:
@@ -257,7 +274,7 @@ def frequent_postings(text: DataFrame, frequent: Broadcast, parts: int) -> DataF
             columns = [np.concatenate(c) for c in zip(*out)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "name", "n", "place", "star"])
 
-    return text.mapInArrow(run, POSTING + ", star long")
+    return text.mapInArrow(run, "token long, name long, n long, place long, star long")
 
 
 def _list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +282,8 @@ def _list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     left: list[np.ndarray] | None = None
 
     def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
-        token, name, n, place = columns
+        token, name, both = columns
+        n, place = both >> 32, both & 0xFFFFFFFF
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])
         token, name, n, place = token[fresh], name[fresh], n[fresh], place[fresh]
@@ -279,11 +297,11 @@ def _list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step += 1
             live = live[live + step < len(token)]
             live = live[token[live + step] == token[live]]
-        both = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+        ends = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["a", "b"])
 
     for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         if left is not None:
             columns = [np.concatenate([x, y]) for x, y in zip(left, columns)]
         if not len(columns[0]):
@@ -306,28 +324,29 @@ class Matrix:
         families = sets.groupBy("least").agg(F.count("*").alias("members"))
         self.sets = materialize(
             lookup_by_size(sets, families, "least", "members", sets.count()).select(
-                "name", "n", F.xxhash64("least", F.pmod(F.xxhash64("name"), share)).alias("group"), *WORDS
+                "name", "n", F.xxhash64("least", F.pmod(F.xxhash64("name"), share)).alias("group"), "columns"
             )
         )
+        buckets = 1 + self.sets.count() // UNION_SETS
+        bucket = F.pmod(F.xxhash64("group"), F.lit(buckets)).alias("bucket")
         self.unions = materialize(
-            self.sets.groupBy("group").agg(
-                F.min("n").alias("least_n"), *[F.bit_or(w).alias(f"g_{w}") for w in WORDS]
-            )
-        )
+            self.sets.select(bucket, "group", "n", "columns").groupBy("bucket")
+            .applyInArrow(_unions, "group long, least_n long, union_columns binary")
+        )
 
     def qualifying(self, entries: DataFrame) -> DataFrame:
         """Of (query, group) those where the bound allows a link."""
-        missing = sum((F.bit_count(F.col(w).bitwiseAND(F.bitwise_not(f"g_{w}"))) for w in WORDS), F.lit(0))
-        most = F.col("n") - missing
-        enough = (100 * most >= PERCENT * F.col("n")) & (
-            (100 + PERCENT) * most >= PERCENT * (F.col("n") + F.least("n", "least_n"))
+        queries = self.sets.select(F.col("name").alias("query"), "n", "columns")
+        both = entries.join(queries, "query").join(self.unions, "group")
+        return both.select("query", "group", "n", "columns", "least_n", "union_columns").mapInArrow(
+            _within_bound, "query long, group long"
         )
-        queries = self.sets.select(F.col("name").alias("query"), "n", *WORDS)
-        return entries.join(queries, "query").join(self.unions, "group").filter(enough).select("query", "group")
 
     def links(self, entries: DataFrame) -> DataFrame:
         """(a, b) of all links between queries and members of the groups that qualify."""
         opened = materialize(self.qualifying(entries))
+        if opened.isEmpty():
+            return opened.select(F.col("query").alias("a"), F.col("query").alias("b"))
         members = self.sets.select("group", "name", "n").join(opened.select("group").distinct(), "group")
         members = materialize(members)
         wanted = opened.select(F.col("query").alias("name")).unionByName(members.select("name")).distinct()
@@ -341,7 +360,7 @@ class Matrix:
         )
         load = shares.agg(F.sum("tokens")).first()[0] or 0
         load += members.join(shares, "group").agg(F.sum(F.col("n") * F.col("shares"))).first()[0] or 0
-        buckets = 1 + load // (4 * OPEN_TOKENS)
+        buckets = 1 + load // OPEN_TOKENS
         bucket = F.pmod(F.xxhash64("group", "share"), F.lit(buckets)).alias("bucket")
         requests = (
             lookup_by_size(opened, shares, "group", "requests", opened.count())
@@ -358,6 +377,37 @@ class Matrix:
         return requests.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_open_groups, "a long, b long")
 
 
+def _unions(table: pa.Table) -> pa.Table:
+    """Per group the smallest size and the union of columns, over as many as its smallest set has."""
+    found: dict[int, tuple[int, np.ndarray]] = {}
+    for group, n, data in zip(*(table[c].to_pylist() for c in ("group", "n", "columns"))):
+        columns = np.frombuffer(data, np.uint8)
+        if group in found:
+            least, union = found[group]
+            size = min(len(union), len(columns))
+            n, columns = min(n, least), folded_to(union, size) | folded_to(columns, size)
+        found[group] = n, columns
+    return pa.table({
+        "group": pa.array(list(found), pa.int64()),
+        "least_n": pa.array([n for n, _ in found.values()], pa.int64()),
+        "union_columns": pa.array([c.tobytes() for _, c in found.values()], pa.binary()),
+    })
+
+
+def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (query, group) rows that the bound on their overlap leaves."""
+    for batch in batches:
+        good = []
+        for n, least, own, union in zip(*(batch.column(c).to_pylist() for c in ("n", "least_n", "columns", "union_columns"))):
+            columns, group = np.frombuffer(own, np.uint8), np.frombuffer(union, np.uint8)
+            size = min(len(columns), len(group))
+            lacking = folded_to(columns, size) & ~folded_to(group, size)
+            most = n - int(np.bitwise_count(lacking).sum())
+            good.append(100 * most >= PERCENT * n and (100 + PERCENT) * most >= PERCENT * (n + least))
+        kept = pa.array(good, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("query", "group")], ["query", "group"])
+
+
 def _open_groups(requests: pa.Table, held: pa.Table) -> pa.Table:
     """Compare every query with the members of its group, once the union of their tokens allows it."""
 
@@ -461,7 +511,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = materialize(pairs.distinct())
     named = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name")))
     active = materialize(named.unionByName(hot.select("name")).distinct())
-    sets = stored.filter("least IS NOT NULL").select("name", "n", "least", *WORDS).join(active, "name", "left_semi")
+    sets = stored.filter("least IS NOT NULL").select("name", "n", "least", "columns").join(active, "name", "left_semi")
     matrix = Matrix(materialize(sets.dropDuplicates(["name"])), text)
     entries = pairs.select(F.col("a").alias("query"), "b").join(
         matrix.sets.select(F.col("name").alias("b"), "group"), "b"

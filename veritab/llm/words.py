@@ -25,11 +25,11 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of ``texts`` of about ``CHUNK`` code points; whole texts only."""
+def chunks(texts: list[str], most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of ``texts`` of about ``most`` code points; whole texts only."""
     start = size = 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > CHUNK:
+        if size and size + len(text) > most:
             yield start, i
             start, size = i, 0
         size += len(text)
