@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veritab.operators.rank import running_total
 from veritab.spec import CELL_ERROR_TYPES, CLEAN, ERROR_TYPES, ROW_ERROR_TYPES, TableSpec
 
+# The column names of the result tables; summaries add _total, _mean and _std.
 METRICS = ["precision", "recall", "f1", "recall_any"]
 ANY_ERROR = "any_error"
 RESULT_COLUMNS = ["method", "error_type", "level", "support", *METRICS, "roc_auc"]

@@ -45,6 +45,7 @@ CLINICAL = TableSpec(
     },
 )
 
+# The columns of that table that hold whole numbers.
 CLINICAL_WHOLE = ("age", "trestbps", "chol", "thalach", "fbs", "exang", "slope", "ca", "num")
 
 ORDERS = TableSpec(
