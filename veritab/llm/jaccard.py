@@ -473,9 +473,11 @@ def _open_entries(hot: DataFrame, member: DataFrame, sets: DataFrame) -> DataFra
     """(query, group) that share a frequent prefix token and are not known to be connected.
 
     On each token the sets of its largest component need no query of their own: whatever links to
-    them from another component asks for their groups.
+    them from another component asks for their groups. An entry is due on the first token that two
+    sets share, so what lies behind it in either set must still be enough for a link.
     """
-    postings = hot.filter("star < 0").select("token", "name").join(member, "name", "left")
+    postings = hot.filter("star < 0").select("token", "name", "n", (F.col("n") - F.col("place")).alias("rest"))
+    postings = postings.join(member, "name", "left")
     postings = materialize(
         postings.withColumn("component", F.coalesce("component", "name"))
         .join(sets.select("name", "group"), "name")
@@ -487,10 +489,11 @@ def _open_entries(hot: DataFrame, member: DataFrame, sets: DataFrame) -> DataFra
     largest = largest.filter("components > 1").select("token", "largest")
     asking = (
         postings.join(largest, "token").filter("component <> largest")
-        .select("token", F.col("name").alias("query"), F.col("component").alias("own"))
+        .select("token", F.col("name").alias("query"), F.col("component").alias("own"), "n", F.col("rest").alias("own_rest"))
     )
-    groups = postings.select("token", "group", "component").distinct()
-    return asking.join(groups, "token").filter("own <> component").select("query", "group").distinct()
+    groups = postings.groupBy("token", "group", "component").agg(F.max("rest").alias("rest"), F.min("n").alias("least_n"))
+    enough = (100 + PERCENT) * F.least("own_rest", "rest") >= PERCENT * (F.col("n") + F.col("least_n"))
+    return asking.join(groups, "token").filter((F.col("own") != F.col("component")) & enough).select("query", "group").distinct()
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -66,7 +66,7 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 
 def _size(n: int) -> int:
-    return 1 << max(21, int(n).bit_length())
+    return 1 << max(20, int(n).bit_length())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
