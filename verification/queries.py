@@ -672,7 +672,7 @@ def e14_keyed(spark, folder):
 
 _ROW_FEATURES = (
     "rowf AS MATERIALIZED (SELECT i.id, " + _COPY_WINDOWS.format(FEATS, "i.id") + ", "
-    "coalesce(p.distance, (SELECT max(distance) FROM pairs)) AS nearest_earlier_dist "
+    f"coalesce(p.distance, (SELECT greatest(max(distance), {len(ORDERS.features)}) FROM pairs))::DOUBLE AS nearest_earlier_dist "
     "FROM inj i LEFT JOIN pairs p ON p.id = i.id)"
 )
 

@@ -39,7 +39,10 @@ SEARCHES = {"keyed": keyed_pairs, "exact": nearest_pairs}
 def row_features(df: DataFrame, spec: TableSpec, search: str = "keyed") -> DataFrame:
     """id with the three row features; copies here ignore the target."""
     copies = copy_counts(df, spec.features, spec.id_col)
-    nearest = nearest_earlier(materialize(SEARCHES[search](df, spec)), spec.id_col)
+    # The keyed search finds partners one column away only; a record without one lies further off,
+    # as far as one that differs in every column.
+    apart = float(len(spec.features)) if search == "keyed" else None
+    nearest = nearest_earlier(materialize(SEARCHES[search](df, spec)), spec.id_col, apart)
     zero = F.lit(0).cast("bigint")
     return nearest.join(copies, spec.id_col, "left").select(
         spec.id_col,
