@@ -43,7 +43,7 @@ GROUP = 64
 #: Sets of which the unions of groups are made by one task, about.
 UNION_SETS = 20_000
 #: Code points that a task shingles at once.
-CHUNK = 1_000_000
+CHUNK = 400_000
 #: Tokens that a task holds at once when it opens groups, about.
 OPEN_TOKENS = 1 << 20
 STAR_KEYS = 4
@@ -112,9 +112,8 @@ def _sets(batches: Iterator[pa.RecordBatch], wanted: Callable | None = None) ->
     """Each set that a task has not met yet: tokens, bounds, names and sizes, chunk by chunk."""
     met: set[int] = set()
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for a, b in W.chunks(texts, CHUNK):
-            token, bounds = shingle_sets(texts[a:b])
+        for a, b, texts in W.text_chunks(batch.column("text"), CHUNK):
+            token, bounds = shingle_sets(texts)
             size = np.diff(bounds)
             names = set_names(token, bounds)
             new = np.zeros(b - a, bool)

@@ -13,9 +13,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Code points handled at once; a longer text is handled alone.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: The White_Space property of Unicode.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -37,6 +39,20 @@ def chunks(texts: list[str], most: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def text_chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, list[str]]]:
+    """The same ranges of an Arrow text column with their texts; only one range is taken out at a time.
+
+    A null text counts as empty.
+    """
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+    start = 0
+    while start < len(sizes):
+        inside = int(np.searchsorted(np.cumsum(sizes[start:]), most, side="right"))
+        stop = start + max(1, inside)
+        yield start, stop, [t or "" for t in column.slice(start, stop - start).to_pylist()]
+        start = stop
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points, and where each text starts, with the total as the last entry."""
     joined = "".join(texts).encode("utf-32-le", "surrogatepass")
