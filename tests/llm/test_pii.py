@@ -51,6 +51,28 @@ def test_copies_of_a_line_are_no_evidence(spark):
     assert pii.find(frame).filter(F.size("spans") == 1).count() == 50
 
 
+def test_a_term_beside_an_entity_of_one_document(spark):
+    rows = [(i, f"plain words here\nand about nothing {i % 7}") for i in range(1000)]
+    rows += [(2000, "written by Quentin\nat jo@ex.org\nplain words here\nfaraway remark")]
+    rows += [(3000 + i, "ask Barnabas at 10.0.0.1 now\nplain words here") for i in range(3)]  # copies
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["entity"], r["term"]) for r in pii.disclosing_terms(frame).collect()}
+    assert found == {("0:jo@ex.org", "quentin"), ("0:jo@ex.org", "written"), ("1:10.0.0.1", "barnabas")}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitize(frame).collect()}
+    assert clean[2000] == " by \nat <EMAIL>\nplain words here\nfaraway remark" and clean[0] == rows[0][1]
+    assert {clean[3000 + i] for i in range(3)} == {"ask  at <IP> now\nplain words here"}
+    counts = {(r["entity"], r["term"]): (r["n_both"], r["n_term"], r["n_entity"]) for r in pii.compared(frame).collect()}
+    assert counts["0:jo@ex.org", "plain"] == (1, 1004, 1) and ("0:jo@ex.org", "faraway") not in counts
+
+
+def test_one_sighting_says_less_than_many(spark):
+    rows = [(i, f"seldom a{i}@ex.org\nplain words here") for i in range(1)] + [(10 + i, "often b@ex.org") for i in range(4)]
+    frame = spark.createDataFrame(rows + [(100 + i, "plain words here") for i in range(95)], "doc_id long, text string")
+    got = {r["term"]: r for r in pii.compared(frame).collect()}
+    assert got["seldom"]["share"] == got["often"]["share"] == 1.0
+    assert got["seldom"]["supported"] < 0.95 < got["often"]["supported"] < 1
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert pii.digests(pii.find(frame)).collect() == []

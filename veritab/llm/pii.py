@@ -1,9 +1,9 @@
 """Personal data: base patterns, and terms that give a protected value away.
 
 Method: information-theoretic sanitisation. The values that the base patterns find are the protected
-entities. Over all lines of the corpus, co-occurrence tells how much a term says about an entity:
-with IC(e) = -log p(e) and PMI(e;t) = log(p(e,t) / (p(e) p(t))), the share PMI / IC is 1 if the
-term never stands without the entity. Terms at or above ``disclosure`` are generalised to their
+entities. Over all documents, co-occurrence on a line or its neighbours tells how much a term says
+about an entity: with IC(e) = -log p(e) and PMI(e;t) = log(p(e,t) / (p(e) p(t))), the share PMI / IC
+is 1 if the term never stands without the entity; it is judged by an estimate for small counts. Terms at or above ``disclosure`` are generalised to their
 word class in documents that hold the entity, and removed where they give it away entirely.
 
 Only DataFrame and SQL functions are used. Patterns are written so that Java's matcher runs in time
@@ -17,10 +17,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from veritab.llm.spread import lookup_by_size
 from veritab.session import materialize
 
-#: Distinct lines that must hold both an entity and a term before the two are compared.
-MIN_LINES = 3
 #: Share of an entity's information content from which a term counts as disclosing.
 DISCLOSURE = 0.95
 KINDS = ["email", "ip", "card", "phone", "term", "reveal"]
@@ -108,6 +107,10 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*map(of, PATTERNS)))
 
 
+def _guarded(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [text.rlike(g) for g in GUARDS.values()])
+
+
 def _entity(span: Column) -> Column:
     """The protected value in one spelling, with its kind."""
     value = F.when(span["kind"] <= 1, F.lower(span["value"])).otherwise(_digits(span["value"]))
@@ -118,67 +121,93 @@ def _terms(line: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(documents: DataFrame, text_col: str = "text", min_lines: int = MIN_LINES, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term, share) for every term whose share is at least ``disclosure``.
+def context_pairs(documents: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """What is compared: (entity, n_entity), (entity, term, n_both) and the number of documents.
 
-    Counts are of lines, over all documents. An entity and a term are compared if at least
-    ``min_lines`` different lines hold both; copies of a line are no further evidence.
+    A term is compared with an entity if a line that holds the entity, or a neighbour of that line,
+    holds the term. Counts are of documents, so that a word repeated within one is seen once.
     """
     text = F.col(text_col)
-    some_guard = reduce(lambda a, b: a | b, [text.rlike(g) for g in GUARDS.values()])
-    lines = documents.filter(some_guard).select(F.explode(F.split(text, "\n")).alias("line"))
-    entities = F.array_distinct(F.transform(base_spans(F.col("line")), _entity))
-    # One row per different line with an entity; copies are added up before the exchange.
-    held = materialize(
-        lines.withColumn("entities", entities).filter(F.size("entities") > 0)
-        .groupBy("line").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"))
+    lines = F.split(text, "\n")
+    # Base patterns never cross a line end, so the entities of a window are those of its lines.
+    around = F.arrays_zip(
+        lines.alias("line"), F.concat(F.array(F.lit(None).cast("string")), lines).alias("before"),
+        F.slice(lines, F.lit(2), F.size(lines)).alias("after"),
     )
-    seen = (
-        held.select("copies", F.explode("entities").alias("entity"))
-        .groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("lines"))
-        .filter(F.col("lines") >= min_lines).drop("lines")
+    windows = (
+        # The number comes before the explode, so that it is one per document.
+        documents.filter(_guarded(text)).select(F.monotonically_increasing_id().alias("row"), around.alias("around"))
+        .select("row", F.explode("around").alias("w")).filter(F.col("w.line").isNotNull())
+        .select("row", "w.line", F.concat_ws("\n", "w.before", "w.line", "w.after").alias("window")).filter(_guarded(F.col("window")))
     )
-    kept = materialize(seen)
-    exploded = held.select("line", "copies", F.explode("entities").alias("entity")).join(kept.select("entity"), "entity", "left_semi")
-    together = materialize(
-        exploded.select("entity", "copies", F.explode(_terms(F.col("line"))).alias("term"))
+    entities = F.array_distinct(F.transform(base_spans(F.col("window")), _entity))
+    held = materialize(windows.select("row", "line", entities.alias("entities")).filter(F.size("entities") > 0))
+    owned = held.select("row", F.explode("entities").alias("entity"), _terms(F.col("line")).alias("terms"))
+    seen = materialize(owned.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")))
+    pairs = materialize(
+        owned.select("row", "entity", F.explode("terms").alias("term"))
         # An entity's own parts, such as the name within an address, are inside its span anyway.
         .filter(~F.contains(F.col("entity"), F.col("term")))
-        .groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("lines"))
-        .filter(F.col("lines") >= min_lines)
+        .distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     )
-    total = documents.agg(F.sum(F.size(F.split(F.coalesce(text, F.lit("")), "\n")))).first()[0] or 1
+    return seen, pairs, documents.count()
+
+
+def compared(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, entity, n_both, n_term, n_entity, share, supported) of every pair that shares a context.
+
+    ``share`` is PMI / IC by the counts as they are. ``supported`` is never more and allows for small
+    counts: p(e|t) is taken as (n_both + 1/2) / (n_term + 1), the mean under Jeffreys' prior.
+    """
+    seen, pairs, total = context_pairs(documents, text_col)
     # Aggregated within each task first: the exchange has one row per term and task.
     everywhere = (
-        documents.select(F.explode(F.split(text, "\n")).alias("line"))
-        .select(F.explode(_terms(F.col("line"))).alias("term"))
-        .groupBy("term").agg(F.count("*").alias("n_term"))
-    )
-    pmi = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
+        documents.select(F.explode(_terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    )
+    # A word that stands beside very many entities, and an entity beside very many words, are hot keys.
+    n_pairs = pairs.count()
+    terms = materialize(pairs.groupBy("term").agg(F.count("*").alias("rows")).join(everywhere, "term"))
+    owners = materialize(pairs.groupBy("entity").agg(F.count("*").alias("rows")).join(seen, "entity"))
+    counted = lookup_by_size(pairs, terms, "term", "rows", n_pairs).drop("rows")
+    counted = lookup_by_size(counted, owners, "entity", "rows", n_pairs).drop("rows")
     content = F.log(F.lit(float(total)) / F.col("n_entity"))
-    return (
-        together.join(everywhere, "term").join(kept, "entity")
-        .withColumn("share", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
-        .filter(F.col("share") >= disclosure).select("entity", "term", "share")
-    )
+
+    def share(both: Column, term: Column) -> Column:
+        pmi = F.log(both * F.lit(float(total)) / (F.col("n_entity") * term))
+        return F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
+
+    return counted.withColumn("share", share(F.col("n_both"), F.col("n_term"))).withColumn(
+        "supported", F.least("share", share(F.col("n_both") + 0.5, F.col("n_term") + 1))
+    )
+
+
+def disclosing_terms(documents: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
+    """(entity, term, share) for every term whose supported share is at least ``disclosure``.
+
+    Every entity is compared with all terms of its context, however rare both are.
+    """
+    return compared(documents, text_col).filter(F.col("supported") >= disclosure).select("entity", "term", "share")
 
 
-def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, disclosure: float = DISCLOSURE) -> DataFrame:
+def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """``documents`` with two columns: ``base`` and ``spans`` (base and term spans, by start, then kind).
 
-    Texts without any entity meet no shuffle key of others: each has a key of its own in the join
-    with the few texts whose terms disclose something, which Spark broadcasts while they are small.
+    Texts that no pattern can fit go past the join with the texts whose terms disclose something;
+    of the others, those without an entity have a key of their own each.
     A null text has no spans. Repeated rows are treated alike. Columns that are named like the
     two new ones are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     documents = documents.drop("base", "spans")
-    marked = documents.withColumn("base", base_spans(text))
-    found = materialize(disclosing_terms(documents, text_col, min_lines, disclosure))
+    marked = documents.filter(_guarded(text)).withColumn("base", base_spans(text))
+    found = materialize(disclosing_terms(documents, text_col, disclosure))
     entities = F.array_distinct(F.transform("base", _entity))
+    # By entity and term: an entity's whole list would meet each of its documents.
     affected = (
-        marked.filter(F.size("base") > 0).select(F.xxhash64(text).alias("_key"), F.explode(entities).alias("entity"))
-        .join(found, "entity").groupBy("_key", "term").agg(F.max("share").alias("share"))
+        marked.filter(F.size("base") > 0)
+        .select(F.xxhash64(text).alias("_key"), F.explode(entities).alias("entity"), _terms(text).alias("terms")).distinct()
+        .select("_key", "entity", F.explode("terms").alias("term"))
+        .join(found, ["entity", "term"]).groupBy("_key", "term").agg(F.max("share").alias("share"))
     )
 
     def words(condition: Column) -> Column:
@@ -199,7 +228,8 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     spans = F.when(F.col("_term").isNull() & F.col("_reveal").isNull(), F.col("base")).otherwise(
         F.array_sort(F.concat("base", *more))
     )
-    return joined.withColumn("spans", spans).drop("_key", "_term", "_reveal")
+    others = documents.filter(~_guarded(text)).withColumn("base", none).withColumn("spans", none)
+    return joined.withColumn("spans", spans).drop("_key", "_term", "_reveal").unionByName(others)
 
 
 def written(spans: Column) -> Column:
