@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from veritab.llm import bpe, output, packing
+from veritab.llm import bpe, output, packing, queries
 
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 PARTS = ["'", " ", "  ", "\n", "\t", "s", "t", "re", "ve", "ll", "m", "d", "A", "é", "ñ", "1", "²", "٣", "!", "..", "_", "中", "日本", "😀", "\u0085", "Σ", "ΑΣ",
@@ -155,3 +155,22 @@ def test_matrices_give_the_documents_back(spark, tmp_path):
         assert whole == library.encode(t or "", add_special_tokens=False).ids + [2]
     cut = output.read_matrices(spark, str(tmp_path / "m")).collect()
     assert all(len(r["input_ids"]) == 4 * r["n_tokens"] for r in cut)
+
+
+def test_query_writes_the_matrices_and_reads_them(spark, monkeypatch):
+    written, write = [], output.write_matrices
+    monkeypatch.setattr(output, "write_matrices", lambda sequences, path: (written.append(path), write(sequences, path)))
+    got = queries.QUERIES["op5_packed_matrices"](spark, "/root/testdata/sf0.001").collect()
+    raw = {r["sequence_id"]: r for r in spark.read.parquet(*written).collect()}
+    assert len(got) == len(raw) > 0
+    for r in got:
+        m, bounds = raw[r["sequence_id"]], [*r["cu_seqlens"], 1024]
+        assert r["ids_crc32"] == zlib.crc32(m["input_ids"][: 4 * r["n_tokens"]]) and r["cu_seqlens"] == m["cu_seqlens"]
+        places = np.concatenate([np.arange(b - a) for a, b in zip(bounds, bounds[1:])])
+        assert r["positions_crc32"] == zlib.crc32(places.astype("<u4").tobytes())
+
+
+def test_no_documents_give_empty_matrices(spark, tmp_path):
+    frame = spark.createDataFrame([], "doc_id long, text string")
+    output.write_matrices(output.packed_sequences(frame, BYTE), str(tmp_path / "m"))
+    assert output.matrix_digests(spark, str(tmp_path / "m")).collect() == []

@@ -22,11 +22,18 @@ LIMIT = 1024
 END = 2
 #: Tokens that a task gathers before it packs; 4 bytes each.
 WINDOW = 1 << 21
+#: Sequences that a task hands over at a time; 8 kB each with their positions.
+BATCH = 512
 
 MATRIX = (
     "sequence_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, "
     "doc_ids array<long>, starts array<long>"
 )
+#: Columns of the written files.
+WRITTEN = (
+    "sequence_id long, n_tokens int, cu_seqlens array<int>, doc_ids array<long>, starts array<long>, "
+    "input_ids binary, positions binary"
+)
 
 
 class CapacityTree:
@@ -75,12 +82,13 @@ def best_fit_decreasing(lengths: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
-def packed_sequences(documents: DataFrame, path: str, limit: int = LIMIT, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_sequences(documents: DataFrame, path: str, limit: int = LIMIT, end: int = END, id_col: str = "doc_id", text_col: str = "text", padded: bool = False) -> DataFrame:
     """One row per sequence: its ids (uint32, little-endian), segment bounds, documents and starts.
 
     ``cu_seqlens`` begins with 0 and ends with n_tokens; ``starts`` says where each segment begins
     in its document. A null text is empty and gives the end id alone; a null id gives a null in
-    ``doc_ids``; an empty table gives no rows; repeated rows are packed each on their own.
+    ``doc_ids``; an empty table gives no rows; repeated rows are packed each on their own. With
+    ``padded`` the rows are those that ``write_matrices`` writes, made in the same worker.
     """
 
     def pack(owners: list, ids: list[np.ndarray], base: int) -> Iterator[tuple]:
@@ -102,7 +110,8 @@ def packed_sequences(documents: DataFrame, path: str, limit: int = LIMIT, end: i
     names = ["sequence_id", "n_tokens", "input_ids", "cu_seqlens", "doc_ids", "starts"]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
+        batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
+        return with_positions(batch, limit) if padded else batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
@@ -116,7 +125,7 @@ def packed_sequences(documents: DataFrame, path: str, limit: int = LIMIT, end: i
             for row in pack(owners, ids, base):
                 rows.append(row)
                 base += 1
-                if len(rows) == 2048:
+                if len(rows) == BATCH:
                     yield batch_of(rows)
                     rows = []
             if rows:
@@ -137,35 +146,41 @@ def packed_sequences(documents: DataFrame, path: str, limit: int = LIMIT, end: i
         if owners:
             yield from flush()
 
-    return documents.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, MATRIX)
+    return documents.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, WRITTEN if padded else MATRIX)
+
+
+def with_positions(batch: pa.RecordBatch, limit: int = LIMIT, pad: int = 0) -> pa.RecordBatch:
+    """Sequences with padded ids and a row of positions each, in the order of ``WRITTEN``."""
+    filler = np.uint32(pad).astype("<u4").tobytes() * limit
+    rows = [(x + filler)[: 4 * limit] for x in batch.column("input_ids").to_pylist()]
+    places = [positions(b, limit).tobytes() for b in batch.column("cu_seqlens").to_pylist()]
+    kept = [c for c in batch.schema.names if c != "input_ids"]
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(c) for c in kept), pa.array(rows, pa.binary()), pa.array(places, pa.binary())],
+        [*kept, "input_ids", "positions"],
+    )
 
 
 def write_matrices(sequences: DataFrame, path: str, limit: int = LIMIT, pad: int = 0) -> None:
     """Write the sequences as rows of a fixed-size id matrix with bounds and position resets.
 
     Parquet files with ``input_ids`` (limit x uint32, padded), ``positions`` (limit x uint32 that
-    begin again with 0 at every segment), ``cu_seqlens`` and what belongs to each segment.
+    begin again with 0 at every segment), ``cu_seqlens`` and what belongs to each segment. Sequences
+    that are padded already are written as they are.
     """
-    width = 4 * limit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            filler = np.uint32(pad).astype("<u4").tobytes() * limit
-            rows = [(x + filler)[:width] for x in batch.column("input_ids").to_pylist()]
-            places = [positions(b, limit).tobytes() for b in batch.column("cu_seqlens").to_pylist()]
-            kept = [c for c in batch.schema.names if c != "input_ids"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(rows, pa.binary()), pa.array(places, pa.binary())],
-                [*kept, "input_ids", "positions"],
-            )
+            for at in range(0, batch.num_rows, BATCH):
+                yield with_positions(batch.slice(at, BATCH), limit, pad)
 
-    schema = "sequence_id long, n_tokens int, cu_seqlens array<int>, doc_ids array<long>, starts array<long>, input_ids binary, positions binary"
-    sequences.mapInArrow(run, schema).write.parquet(path)
+    padded = sequences if "positions" in sequences.columns else sequences.mapInArrow(run, WRITTEN)
+    padded.write.option("compression", "zstd").parquet(path)
 
 
 def read_matrices(spark: SparkSession, path: str) -> DataFrame:
     """The written rows, with the padding cut off again."""
-    return spark.read.parquet(path).withColumn("input_ids", F.expr("substring(input_ids, 1, 4 * n_tokens)"))
+    return spark.read.schema(WRITTEN).parquet(path).withColumn("input_ids", F.expr("substring(input_ids, 1, 4 * n_tokens)"))
 
 
 def positions(bounds: list[int], limit: int) -> np.ndarray:
@@ -186,3 +201,11 @@ def sequence_digests(sequences: DataFrame) -> DataFrame:
 
     schema = "sequence_id long, n_tokens int, cu_seqlens array<int>, doc_ids array<long>, starts array<long>, ids_crc32 long"
     return sequences.mapInArrow(run, schema)
+
+
+def matrix_digests(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of written matrices with CRC-32 of the ids and of the whole row of positions."""
+    return read_matrices(spark, path).select(
+        "sequence_id", "n_tokens", "cu_seqlens", "doc_ids", "starts",
+        F.crc32("input_ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"),
+    )

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritab.llm import bpe, chat, crf, dedup, ego, jaccard, output, packing, pii, urls
+from veritab.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,8 +43,10 @@ def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_packed_matrices")
 def packed_matrices(spark: SparkSession, folder: str) -> DataFrame:
-    sequences = output.packed_sequences(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
-    return output.sequence_digests(sequences)
+    sequences = output.packed_sequences(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), padded=True)
+    path = scratch_path(spark)
+    output.write_matrices(sequences, path)
+    return output.matrix_digests(spark, path)
 
 
 DEDUP_TWIN = r"""
