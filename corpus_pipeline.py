@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal up to white space the smallest id stays."""
-    return dedup.without_copies(docs)
+    """Of texts that are equal up to white space the smallest id stays, of those without any id one row."""
+    return dedup.without_copies(docs, keep_unnamed=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -30,6 +31,17 @@ def test_dedup_equals_plain_grouping(spark):
     assert dedup.deduplicate(frame.limit(0)).collect() == []
 
 
+def test_a_text_without_any_id_stays_once_in_the_pipeline(spark):
+    rows = [(None, "only"), (None, "two  rows"), (None, "two rows"), (None, "z"), (7, "z"), (3, "z"), (4, None), (None, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    kept = corpus_pipeline.exact_copies(spark, frame, "")
+    assert kept.dtypes == frame.dtypes
+    want = [(3, "z"), (4, None), (None, "only"), (None, "two  rows")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.exact_copies(spark, frame.limit(0), "").collect() == []
+
+
 def test_index_remembers_earlier_documents(spark, tmp_path):
     index = dedup.DigestIndex(spark, "digests_of_test", str(tmp_path / "index"), 4)
     one = spark.createDataFrame([(10, "a b"), (11, "c")], "doc_id long, text string")

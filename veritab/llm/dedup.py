@@ -82,14 +82,26 @@ def deduplicate(documents: DataFrame, index: DigestIndex | None = None, id_col:
     )
 
 
-def without_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_unnamed: bool = False) -> DataFrame:
     """The rows of ``documents`` that ``deduplicate`` keeps, with all their columns.
 
-    What goes is a short list of (id, digest) as a rule; Spark broadcasts it while it is small.
+    With ``keep_unnamed``, one row also stays of each text that only rows without an id hold: the
+    smallest of them. What goes is a short list of (id, digest) as a rule; Spark broadcasts it while
+    it is small. Only texts without an id take part in an exchange, one per task and digest.
     """
     marked = deduplicate(documents, None, id_col, text_col)
+    if keep_unnamed:
+        marked = materialize(marked)
     gone = materialize(
         marked.filter(~F.col("kept")).select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct()
     )
     digest = F.unhex(F.sha2(normalized(text_col), 256))
-    return documents.join(gone, documents[id_col].eqNullSafe(gone["_id"]) & (digest == gone["_digest"]), "left_anti")
+    named = documents.join(gone, documents[id_col].eqNullSafe(gone["_id"]) & (digest == gone["_digest"]), "left_anti")
+    if not keep_unnamed:
+        return named
+    alone = marked.filter(F.col("keep_id").isNull()).select(F.unhex("text_sha256").alias("_digest")).distinct()
+    unnamed = (
+        documents.filter(F.col(id_col).isNull()).groupBy(digest.alias("_digest")).agg(F.min(F.struct(*documents.columns)).alias("_row"))
+        .join(alone, "_digest", "left_semi").select("_row.*")
+    )
+    return named.unionByName(unnamed)
