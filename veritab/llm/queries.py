@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritab.llm import bpe, chat, crf, dedup, ego, jaccard, output, packing, pii, urls
+from veritab.llm import bpe, chat, crf, dedup, ego, jaccard, output, packing, phrases, pii, pitman, urls, whiten
 from veritab.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,3 +140,58 @@ def ego_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_ngram_jaccard")
 def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
+
+
+@query("op11_feast_whitening")
+def feast_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten.components_of(table(spark, folder, "embeddings"))
+
+
+PHRASES_TWIN = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), ws AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM piece
+), gram AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (
+    SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM ws, (VALUES (1), (2), (3)) AS s(k) WHERE len(ws) >= k)
+), f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM gram GROUP BY ALL
+), total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), cut AS (
+  SELECT lang, k, phrase, f AS a, c, array_to_string(string_split(phrase, ' ')[:c], ' ') AS first_part,
+    array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS rest
+  FROM f, (VALUES (1), (2)) AS s(c) WHERE k > 1 AND c < k AND f >= 10
+), scored AS (
+  SELECT cut.lang, cut.k, cut.phrase, a, c, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f * y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = first_part AND x.k = c
+    JOIN f y ON y.lang = cut.lang AND y.phrase = rest AND y.k = cut.k - c
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), inside AS (
+  SELECT lang, part, max(a) AS above FROM (
+    SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS part
+    FROM best WHERE k = 3) GROUP BY ALL
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND part = phrase
+  WHERE k = 3 OR above IS NULL OR 100 * above < 50 * a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_quotient_phrases", PHRASES_TWIN)
+def quotient_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+@query("op13_pitman_yor_scores")
+def pitman_yor_scores(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    scores = pitman.score_texts(documents, ~held_out)
+    return scores.select(
+        F.col("id").alias("doc_id"), (~F.col("counted")).alias("held_out"), *[F.col(c).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")],
+        "base_score", "score",
+    )
