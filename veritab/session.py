@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,28 +26,34 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
-#: Paths handed out within ``removed_after``, innermost last.
-_owned: list[list[str]] = []
+#: Paths handed out within ``removed_after``, innermost last; each thread has its own.
+_owned: ContextVar[tuple[list[str], ...]] = ContextVar("owned", default=())
 
 
 def scratch_path(spark: SparkSession) -> str:
     path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
-    if _owned:
-        _owned[-1].append(path)
+    if _owned.get():
+        _owned.get()[-1].append(path)
     return path
 
 
 @contextmanager
 def removed_after(spark: SparkSession) -> Iterator[None]:
     """Remove the tables written inside when the block ends; nothing that reads them may leave it."""
-    _owned.append([])
+    paths: list[str] = []
+    token = _owned.set((*_owned.get(), paths))
     try:
         yield
     finally:
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        for name in _owned.pop():
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(hadoop).delete(path, True)
+        _owned.reset(token)
+        remove_paths(spark, paths)
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -58,3 +65,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(stored: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote; nothing may read it any more.
+
+    What was made of it must have been written too: a lost task could not be run again otherwise.
+    """
+    folders = {file.rsplit("/", 1)[0] for file in stored.inputFiles()}
+    remove_paths(stored.sparkSession, sorted(folders))
