@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veritab.llm.quotient import QuotientFilter, half_width, packed_words, permuted, restored, unpacked_words
 from veritab.llm.shards import global_stream, over_shards, shard_texts, with_ids, word_counts
-from veritab.session import materialize
+from veritab.session import discard, materialize
 
 #: What ends a piece, and what a word is, by the contract.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -91,6 +91,8 @@ class Grams:
         filters = over_shards(shards, numbered, _shard_filters(max_words, bits, range_bits), "n int, part long, filter binary")
         merged = filters.groupBy("n", "part").applyInArrow(_merge_filters(least, bits), "n int, key array<long>, f long")
         self.longer = materialize(merged)
+        discard(shards)
+        discard(counts)
         self.words = words.select(F.array("id").alias("key"), F.col("count").alias("f"), phrase.alias("phrase"), own.alias("lang"))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veritab.llm.shards import global_stream, over_shards, packed, packed_sorted, shard_texts, unpacked, unpacked_sorted, with_ids, word_counts
-from veritab.session import materialize
+from veritab.session import discard, materialize
 
 #: Fixed value: what a word is, by the contract.
 WORD = rb"[^\x20\x09-\x0D]+"
@@ -336,7 +336,7 @@ def fit(streams: DataFrame, layout: Layout, tokens: int, kinds: int, burn_in: in
     ones = singles.select(F.col("block").alias("tile"), "keys").mapInArrow(_single_sums(layout), MODEL_SCHEMA)
     fixed = materialize(ones.groupBy("kind", "block").applyInArrow(_added_plain, MODEL_SCHEMA))
     upper, sides, root, kept = 0.5, None, Root(0, 0), []
-    parts = rows.filter("kind IN ('context', 'word')")
+    parts, state = rows.filter("kind IN ('context', 'word')"), None
     for number in range(burn_in + samples + 1):
         if number:
             held = number > burn_in
@@ -344,6 +344,9 @@ def fit(streams: DataFrame, layout: Layout, tokens: int, kinds: int, burn_in: in
             tiles = pairs.withColumn("tile", F.col("block")).groupBy("tile")
             found = materialize(tiles.cogroup(_on_tiles(layout, sides, 0).groupBy("tile")).applyInArrow(step, MODEL_SCHEMA))
             pairs = found.filter("kind = 'pair'")
+            if state is not None:
+                discard(state)  # the round before
+            state = found
             old = sides.filter("kind = 'word'").select("kind", "block", F.col("tables").alias("keys"), "counts", "tables", "total", "customers")
             parts = found.filter("kind IN ('context', 'word')").unionByName(fixed).unionByName(old)
         random_of = _Seeds(seed, number)
@@ -480,20 +483,27 @@ def score_texts(
     tokens, partitions = int(tokens or 0), int(spark.conf.get("spark.sql.shuffle.partitions"))
     layout = Layout.of(-1 if top is None else int(top), tokens, partitions)
     streams = materialize(over_shards(shards, words, _numbered(layout, tokens, kinds), STREAM_SCHEMA))
+    discard(shards)
+    discard(words)
     model = fit(streams, layout, tokens, kinds, burn_in, samples, strength, seed)
     return scored(streams, model).withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 
-def scored(streams: DataFrame, model: Model) -> DataFrame:
-    layout = model.layout
-    asked = streams.select("shard", "stream", "lengths", "counted").mapInArrow(_wanted(layout, False), "tile long, shard string, keys binary, counts binary")
-    held = [model.pairs, model.singles]
-    rows = [h.select(F.col("block").alias("tile"), F.lit(-1).alias("sample"), "kind", "keys", "counts", "tables", "total") for h in held]
-    rows += [_on_tiles(layout, sides, s) for s, (sides, _) in enumerate(model.sides)]
+def model_rows(model: Model) -> DataFrame:
+    """Everything that a tile needs to answer: its pairs, and each kept seating's arrays of its contexts and words."""
+    rows = [h.select(F.col("block").alias("tile"), F.lit(-1).alias("sample"), "kind", "keys", "counts", "tables", "total") for h in (model.pairs, model.singles)]
+    rows += [_on_tiles(model.layout, sides, s) for s, (sides, _) in enumerate(model.sides)]
     whole = rows[0]
     for more in rows[1:]:
         whole = whole.unionByName(more)
+    return whole
+
+
+def scored(streams: DataFrame, model: Model) -> DataFrame:
+    """(id, counted, n_tokens, n_known, base_score, score) of every text of ``streams``."""
+    layout = model.layout
+    asked = streams.select("shard", "stream", "lengths", "counted").mapInArrow(_wanted(layout, False), "tile long, shard string, keys binary, counts binary")
     answer = _answers(layout, model.discounts, model.strength, model.unit, [r for _, r in model.sides])
-    answers = whole.groupBy("tile").cogroup(asked.groupBy("tile")).applyInArrow(answer, "shard string, tile long, scores binary")
+    answers = model_rows(model).groupBy("tile").cogroup(asked.groupBy("tile")).applyInArrow(answer, "shard string, tile long, scores binary")
     schema = "id long, counted boolean, n_tokens long, n_known long, base_score double, score double"
     return streams.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_documents(layout), schema)

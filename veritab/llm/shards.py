@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Tokens after which a shard is closed; whole texts only.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 4_000_000
 #: Bytes of a text that are tokenised at once; the cut is made at white space.
 SEGMENT = 1 << 20
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
