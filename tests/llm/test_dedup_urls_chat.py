@@ -4,9 +4,10 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from veritab.llm import chat, dedup, urls
+from veritab.llm import chat, dedup, jaccard, urls
 from veritab.llm.bloom import BlockedBloom
 
 
@@ -55,6 +56,43 @@ def test_index_remembers_earlier_documents(spark, tmp_path):
     spark.sql("DROP TABLE digests_of_test")
 
 
+def test_an_index_is_opened_with_its_own_layout_only(spark, tmp_path):
+    folder, schema = str(tmp_path / "index"), "doc_id long, text string"
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(500)], schema)
+    again = spark.createDataFrame([(i + 1000, f"text {i}") for i in range(500)], schema)
+    dedup.deduplicate(texts, dedup.DigestIndex(spark, "layout_of_test", folder, 4)).collect()
+    spark.sql("DROP TABLE layout_of_test")  # as in a new session with a catalog in memory
+    for wrong in (8, 3):
+        with pytest.raises(ValueError):
+            dedup.DigestIndex(spark, "layout_of_test", folder, wrong)
+    index = dedup.DigestIndex(spark, "layout_of_test", folder)
+    assert index.buckets == 4 and index.rows().count() == 500
+    found = dedup.deduplicate(again, index).collect()
+    assert all(r["keep_id"] == r["doc_id"] - 1000 and not r["kept"] for r in found)
+    assert index.rows().count() == 500
+    with pytest.raises(ValueError):
+        dedup.DigestIndex(spark, "layout_of_test", str(tmp_path / "other"))
+    spark.sql("DROP TABLE layout_of_test")
+
+
+def test_batches_change_nothing(spark):
+    rows = [(i, f"t{i % 37}") for i in range(-20, 300)] + [(None, "t3"), (None, "new"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, dedup.deduplicate(frame).collect()), key=repr)
+    for batches in (2, 5):
+        assert sorted(map(tuple, dedup.deduplicate(frame, batches=batches).collect()), key=repr) == want
+    assert dedup.deduplicate(frame.limit(0), batches=3).collect() == []
+
+
+def test_rows_delivered_twice_stay_once_in_the_pipeline(spark):
+    rows = [(1, "a b c d e f", {"k": 1}), (1, "a b c d e f", {"k": 1}), (2, "x", {}), (2, "x", {"z": 2}), (2, "y", None), (None, "x", {}), (3, None, {}), (3, "", {})]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    kept = [(r["doc_id"], r["text"]) for r in dedup.without_copies(frame, keep_unnamed=True).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, "a b c d e f"), (2, "x"), (2, "y"), (3, "")], key=repr) or sorted(kept, key=repr) == sorted([(1, "a b c d e f"), (2, "x"), (2, "y"), (3, None)], key=repr)
+    left = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(frame).collect()]
+    assert left.count((1, "a b c d e f")) == 1 and left.count((2, "x")) == 1
+
+
 def test_bloom_never_misses(spark):
     hashes = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
     bloom = BlockedBloom.of(spark.createDataFrame([(int(h),) for h in hashes], "hash long"))

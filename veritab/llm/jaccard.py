@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veritab.llm import words as W
 from veritab.llm.bloom import BlockedBloom
 from veritab.llm.components import components
+from veritab.llm.dedup import one_row_of
 from veritab.llm.spread import lookup_by_size
 from veritab.session import materialize
 
@@ -539,11 +540,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` whose id is their component's smallest, with all their columns."""
-    marked = near_duplicates(documents, id_col, text_col)
+    """The rows of ``documents`` whose id is their component's smallest, with all their columns.
+
+    Rows that stand there several times with the same id and text stay once.
+    """
+    marked = materialize(near_duplicates(documents, id_col, text_col))
     kept: Column = F.col(id_col).cast("long").eqNullSafe(F.col("component_id"))
-    gone = materialize(
-        marked.filter(~kept).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_text")).distinct()
-    )
-    same = documents[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(text_col) == gone["_text"])
-    return documents.join(gone, same, "left_anti")
+    named = marked.select(F.col(id_col).alias("_0"), F.col("text_hash").alias("_1"), kept.alias("kept"))
+    several = named.filter("kept AND _0 IS NOT NULL").groupBy("_0", "_1").agg(F.count("*").alias("rows")).filter("rows > 1")
+    several = materialize(several.select("_0", "_1"))
+    gone = materialize(named.filter("NOT kept").select("_0", "_1").unionByName(several).distinct())
+    # The hash of a null text is a number too, so only ids may be null here.
+    same = documents[id_col].eqNullSafe(gone["_0"]) & (F.xxhash64(text_col) == gone["_1"])
+    left = documents.join(gone, same, "left_anti")
+    return left.unionByName(one_row_of(documents, [F.col(id_col), F.xxhash64(text_col)], several))

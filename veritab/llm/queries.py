@@ -59,7 +59,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 @query("op8_exact_dedup", DEDUP_TWIN)
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.deduplicate(table(spark, folder, "documents"))
+    return dedup.deduplicate(table(spark, folder, "documents"), batches=2)
 
 
 #: The rules of the contract.
