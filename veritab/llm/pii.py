@@ -1,28 +1,40 @@
 """Personal data: base patterns, and terms that give a protected value away.
 
 Method: information-theoretic sanitisation. The values that the base patterns find are the protected
-entities. Over all documents, co-occurrence on a line or its neighbours tells how much a term says
-about an entity: with IC(e) = -log p(e) and PMI(e;t) = log(p(e,t) / (p(e) p(t))), the share PMI / IC
-is 1 if the term never stands without the entity; it is judged by an estimate for small counts. Terms at or above ``disclosure`` are generalised to their
-word class in documents that hold the entity, and removed where they give it away entirely.
-
-Only DataFrame and SQL functions are used. Patterns are written so that Java's matcher runs in time
-linear in the text: a search begins at the start of a run of fitting characters or where the last
-match ended (\\G), and loops are possessive, which changes no match here.
+entities. Over all documents, co-occurrence near an entity tells how much a term says about it: once the term is
+seen, -log p(e|t) of the entity's information is left. p(e|t) is judged by a lower confidence bound that depends
+on the sightings alone and not on how many other documents there are; the bound starts from how often terms
+as rare as this one stand near any entity, so that a single sighting of a rare word says little in a corpus full
+of rare words. A term whose bound reaches ``DISCLOSURE`` is generalised in documents that hold the entity: to its
+stem if the stem, over all words that share it, stays below that line, else to its class of words. From
+``REMOVAL`` on it is removed.
+
+Only DataFrame and SQL functions are used, and work is in proportion to the texts. A context is a bounded number
+of code points to either side of an entity, so a document of many entities has as many contexts and no more.
+Patterns are written so that Java's matcher runs in time linear in the text: a search begins at the start of a
+run of fitting characters or where the last match ended (\\G), and loops are possessive, which changes no match
+here. Running sums over the matches of a text are taken in blocks of about the square root of their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veritab.llm.spread import lookup_by_size
 from veritab.session import materialize
 
-#: Share of an entity's information content from which a term counts as disclosing.
-DISCLOSURE = 0.95
-KINDS = ["email", "ip", "card", "phone", "term", "reveal"]
+#: Lower bounds of p(entity | term) from which a term is generalised, and removed.
+DISCLOSURE, REMOVAL = 0.5, 0.8
+#: Code points to either side of an entity that are its context.
+CONTEXT = 80
+#: Standard deviations of the lower bound, and sightings that the background rate counts for.
+DEVIATIONS, PRIOR = 0.5, 1.0
+#: Code points of the parts that a text is cut into before spans are replaced.
+PART = 4096
+KINDS = ["email", "ip", "card", "phone", "stem", "term", "reveal"]
 PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 #: Terms are runs of at least four letters or digits.
 TERM = r"[\p{L}\p{N}]{4,}"
@@ -74,26 +86,68 @@ VALID = {
 }
 
 
-def spans_of(text: Column, pattern: Column, kind: str) -> Column:
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once; within a lambda it would be for every element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What ``step`` has made of ``start`` and all values before each value, as an array.
+
+    In blocks, because an array that grows by one element is copied each time: n sqrt(n) copies instead of n * n.
+    """
+
+    def along(of: Column, first: Column) -> Column:
+        return F.aggregate(of, F.array(first), lambda seen, v: F.concat(seen, F.array(step(F.element_at(seen, -1), v))))
+
+    def blocks(x: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
+        firsts = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x), size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(firsts, lambda i: F.slice(x, i, size))
+
+    def joined(parts: Column) -> Column:
+        ends = F.transform(parts, lambda part: F.element_at(along(part, start), -1))
+        # The blocks' own steps start from nothing; what came before is put on top of them.
+        before = F.slice(along(ends, start), 1, F.greatest(F.lit(1), F.size(ends)))
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), before.alias("before")), lambda z: F.slice(along(z["part"], z["before"]), 1, F.size(z["part"]))))
+
+    return _let(values, lambda x: F.when(F.size(x) > 0, _let(blocks(x), joined)).otherwise(F.slice(F.array(start), 1, 0)))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """Every match with the text before it (since the last match) and behind it (up to the next)."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("between"))
+    empty = F.array().cast("array<struct<value:string,before:string,behind:string>>")
+
+    def zipped(x: Column) -> Column:
+        n = F.size(x["found"])
+        rows = F.arrays_zip(x["found"].alias("value"), F.slice(x["between"], 1, n).alias("before"), F.slice(x["between"], 2, n).alias("behind"))
+        return F.when(n > 0, rows).otherwise(empty)
+
+    return _let(pieces, zipped)
+
+
+def spans_of(text: Column, pattern: str, kind: str) -> Column:
     """All matches from left to right as (start, kind, stop, value), in code points.
 
     What lies between the matches comes from a split by the same pattern, so that the places are
     running sums of lengths.
     """
-    between = F.split(text, pattern, -1)
-    found = F.transform(
-        F.regexp_extract_all(text, pattern, F.lit(0)),
-        lambda v, i: F.struct(F.length(F.get(between, i)).alias("gap"), v.alias("value")),
-    )
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        stop = start + F.length(x["value"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), stop.alias("stop"), x["value"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def placed(x: Column) -> Column:
+        sizes = F.transform(x, lambda m: F.length(m["before"]) + F.length(m["value"]))
+        rows = F.arrays_zip(x.alias("m"), _running(sizes, F.lit(0), lambda at, v: at + v).alias("at"))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(found, empty, step, lambda state: state["out"])
+        def span(z: Column) -> Column:
+            start = z["at"] + F.length(z["m"]["before"])
+            return F.struct(
+                start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(z["m"]["value"])).alias("stop"), z["m"]["value"].alias("value")
+            )
+
+        return F.transform(rows, span)
+
+    return _let(_matches(text, pattern), placed)
 
 
 def base_spans(text: Column) -> Column:
@@ -101,7 +155,7 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast(SPAN)
 
     def of(kind: str) -> Column:
-        all_spans = spans_of(text, F.lit(PATTERNS[kind]), kind)
+        all_spans = spans_of(text, PATTERNS[kind], kind)
         return F.when(text.rlike(GUARDS[kind]), F.filter(all_spans, lambda s: VALID[kind](s["value"]))).otherwise(none)
 
     return F.array_sort(F.concat(*map(of, PATTERNS)))
@@ -111,82 +165,117 @@ def _guarded(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike(g) for g in GUARDS.values()])
 
 
-def _entity(span: Column) -> Column:
+def _entity(kind: Column, value: Column) -> Column:
     """The protected value in one spelling, with its kind."""
-    value = F.when(span["kind"] <= 1, F.lower(span["value"])).otherwise(_digits(span["value"]))
-    return F.concat(span["kind"].cast("string"), F.lit(":"), value)
+    spelled = F.when(kind <= 1, F.lower(value)).otherwise(_digits(value))
+    return F.concat(kind.cast("string"), F.lit(":"), spelled)
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
 
+FIRST_RUN, LAST_RUN = r"^[\p{L}\p{N}]+", r"[\p{L}\p{N}]+$"
 
-def _terms(line: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0)))
 
+def _context(before: Column, behind: Column) -> Column:
+    """The ends of two texts that meet at an entity, without words that the cut or the entity has broken."""
+    left = F.when(F.length(before) > CONTEXT, F.regexp_replace(F.right(before, F.lit(CONTEXT)), FIRST_RUN, "")).otherwise(before)
+    right = F.when(F.length(behind) > CONTEXT, F.regexp_replace(F.left(behind, F.lit(CONTEXT)), LAST_RUN, "")).otherwise(behind)
+    return F.concat_ws(" ", F.regexp_replace(left, LAST_RUN, ""), F.regexp_replace(right, FIRST_RUN, ""))
 
-def context_pairs(documents: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """What is compared: (entity, n_entity), (entity, term, n_both) and the number of documents.
 
-    A term is compared with an entity if a line that holds the entity, or a neighbour of that line,
-    holds the term. Counts are of documents, so that a word repeated within one is seen once.
+def sightings(text: Column) -> Column:
+    """(entity, terms) of every valid match: the terms of its context that are not part of the entity itself.
+
+    A context ends at the next match of the same pattern, valid or not.
     """
-    text = F.col(text_col)
-    lines = F.split(text, "\n")
-    # Base patterns never cross a line end, so the entities of a window are those of its lines.
-    around = F.arrays_zip(
-        lines.alias("line"), F.concat(F.array(F.lit(None).cast("string")), lines).alias("before"),
-        F.slice(lines, F.lit(2), F.size(lines)).alias("after"),
-    )
-    windows = (
-        # The number comes before the explode, so that it is one per document.
-        documents.filter(_guarded(text)).select(F.monotonically_increasing_id().alias("row"), around.alias("around"))
-        .select("row", F.explode("around").alias("w")).filter(F.col("w.line").isNotNull())
-        .select("row", "w.line", F.concat_ws("\n", "w.before", "w.line", "w.after").alias("window")).filter(_guarded(F.col("window")))
-    )
-    entities = F.array_distinct(F.transform(base_spans(F.col("window")), _entity))
-    held = materialize(windows.select("row", "line", entities.alias("entities")).filter(F.size("entities") > 0))
-    owned = held.select("row", F.explode("entities").alias("entity"), _terms(F.col("line")).alias("terms"))
-    seen = materialize(owned.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")))
-    pairs = materialize(
-        owned.select("row", "entity", F.explode("terms").alias("term"))
-        # An entity's own parts, such as the name within an address, are inside its span anyway.
-        .filter(~F.contains(F.col("entity"), F.col("term")))
-        .distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    )
-    return seen, pairs, documents.count()
+    none = F.array().cast("array<struct<entity:string,terms:array<string>>>")
+
+    def of(kind: str) -> Column:
+        def whole_words(x: Column) -> Column:
+            def between(m: Column, i: Column) -> Column:
+                before = F.when(i > 0, F.regexp_replace(m["before"], FIRST_RUN, "")).otherwise(m["before"])
+                behind = F.when(i < F.size(x) - 1, F.regexp_replace(m["behind"], LAST_RUN, "")).otherwise(m["behind"])
+                return F.struct(m["value"].alias("value"), before.alias("before"), behind.alias("behind"))
+
+            return F.transform(x, between)
+
+        def sighting(m: Column) -> Column:
+            entity = _entity(F.lit(KINDS.index(kind)), m["value"])
+            terms = F.filter(_terms(_context(m["before"], m["behind"])), lambda t: ~F.contains(entity, t))
+            return F.struct(entity.alias("entity"), terms.alias("terms"))
+
+        valid = F.filter(_let(_matches(text, PATTERNS[kind]), whole_words), lambda m: VALID[kind](m["value"]))
+        return F.when(text.rlike(GUARDS[kind]), F.transform(valid, sighting)).otherwise(none)
+
+    return F.concat(*map(of, PATTERNS))
+
+
+def _stem(term: Column) -> Column:
+    """The first half of a word; the end of a mark that no word has."""
+    return F.concat(F.left(term, F.ceil(F.length(term) / 2).cast("int")), F.lit("…"))
+
+
+def lower_bound(both: Column, of: Column, rate: Column) -> Column:
+    """Of the share both / of: Wilson's bound, as if ``PRIOR`` more sightings had been seen at the background rate."""
+    n = of + F.lit(PRIOR)
+    p = F.least(F.lit(1.0), (both + F.lit(PRIOR) * rate) / n)
+    z = F.lit(DEVIATIONS)
+    spread = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    return (p + z * z / (2 * n) - spread) / (1 + z * z / n)
 
 
 def compared(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, entity, n_both, n_term, n_entity, share, supported) of every pair that shares a context.
+    """(entity, term, n_both, n_term, n_entity, rate, bound, share) of every pair that shares a context.
 
-    ``share`` is PMI / IC by the counts as they are. ``supported`` is never more and allows for small
-    counts: p(e|t) is taken as (n_both + 1/2) / (n_term + 1), the mean under Jeffreys' prior.
+    Counts are of documents, so that what is repeated within one is seen once; copies of a document count each. ``rate``
+    is how often terms that are about as frequent stand near any entity, ``bound`` the lower bound of p(entity | term).
+    ``share`` is PMI / IC by the counts as they are, for information: it moves with the number of documents.
     """
-    seen, pairs, total = context_pairs(documents, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # The number comes before the explode, so that it is one per document.
+    guarded = documents.filter(_guarded(text)).select(F.monotonically_increasing_id().alias("row"), sightings(text).alias("seen"))
+    held = materialize(guarded.select("row", F.explode("seen").alias("s")).select("row", "s.entity", "s.terms"))
+    entities = materialize(held.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")))
+    near = held.select("row", "entity", F.explode("terms").alias("term")).distinct()
+    near = materialize(near)
+    pairs = materialize(near.groupBy("entity", "term").agg(F.count("*").alias("n_both")))
+    anywhere = near.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     # Aggregated within each task first: the exchange has one row per term and task.
-    everywhere = (
-        documents.select(F.explode(_terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    )
+    everywhere = documents.select(F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = everywhere.join(anywhere, "term", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    terms = materialize(terms.withColumn("stem", _stem(F.col("term"))).withColumn("often", F.floor(F.log2("n_term")).cast("int")))
+    # One row for each power of two of a count: at most 63.
+    rates = terms.groupBy("often").agg((F.sum("n_near") / F.sum("n_term")).alias("rate"))
+    n_pairs, total = pairs.count(), documents.count()
     # A word that stands beside very many entities, and an entity beside very many words, are hot keys.
-    n_pairs = pairs.count()
-    terms = materialize(pairs.groupBy("term").agg(F.count("*").alias("rows")).join(everywhere, "term"))
-    owners = materialize(pairs.groupBy("entity").agg(F.count("*").alias("rows")).join(seen, "entity"))
-    counted = lookup_by_size(pairs, terms, "term", "rows", n_pairs).drop("rows")
+    sized = pairs.groupBy("term").agg(F.count("*").alias("rows")).join(terms, "term").join(F.broadcast(rates), "often")
+    counted = lookup_by_size(pairs, materialize(sized), "term", "rows", n_pairs).drop("rows", "n_near", "often")
+    owners = materialize(pairs.groupBy("entity").agg(F.count("*").alias("rows")).join(entities, "entity"))
     counted = lookup_by_size(counted, owners, "entity", "rows", n_pairs).drop("rows")
+    # Words that share a stem: some document count of the stem is at least the largest of theirs.
+    stems = materialize(terms.groupBy("stem").agg(F.max("n_term").alias("n_stem")))
     content = F.log(F.lit(float(total)) / F.col("n_entity"))
-
-    def share(both: Column, term: Column) -> Column:
-        pmi = F.log(both * F.lit(float(total)) / (F.col("n_entity") * term))
-        return F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
-
-    return counted.withColumn("share", share(F.col("n_both"), F.col("n_term"))).withColumn(
-        "supported", F.least("share", share(F.col("n_both") + 0.5, F.col("n_term") + 1))
-    )
+    pmi = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
+    return counted.withColumn("bound", lower_bound(F.col("n_both"), F.col("n_term"), F.col("rate"))).withColumn(
+        "share", F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
+    ).join(stems, "stem")
 
 
-def disclosing_terms(documents: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term, share) for every term whose supported share is at least ``disclosure``.
+def disclosing_terms(documents: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
+    """(entity, term, bound, kind) for every term whose bound reaches ``disclosure``.
 
-    Every entity is compared with all terms of its context, however rare both are.
+    ``kind`` numbers what becomes of it: ``reveal`` (removed) from ``removal`` on, else ``stem`` if the entity is not
+    given away by the stem either, else ``term`` (its class of words).
     """
-    return compared(documents, text_col).filter(F.col("supported") >= disclosure).select("entity", "term", "share")
+    flagged = compared(documents, text_col).filter(F.col("bound") >= disclosure)
+    # Of all flagged words of an entity that share a stem; their documents may be the same, so this is at most.
+    of_stem = Window.partitionBy("entity", "stem")
+    both = F.least(F.sum("n_both").over(of_stem), F.col("n_entity"))
+    stem_bound = lower_bound(both, F.greatest("n_stem", both), F.col("rate"))
+    kind = F.when(F.col("bound") >= removal, KINDS.index("reveal")).when(stem_bound < disclosure, KINDS.index("stem")).otherwise(KINDS.index("term"))
+    return flagged.withColumn("kind", kind).select("entity", "term", "bound", "kind")
 
 
 def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
@@ -201,35 +290,25 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     documents = documents.drop("base", "spans")
     marked = documents.filter(_guarded(text)).withColumn("base", base_spans(text))
     found = materialize(disclosing_terms(documents, text_col, disclosure))
-    entities = F.array_distinct(F.transform("base", _entity))
-    # By entity and term: an entity's whole list would meet each of its documents.
-    affected = (
-        marked.filter(F.size("base") > 0)
-        .select(F.xxhash64(text).alias("_key"), F.explode(entities).alias("entity"), _terms(text).alias("terms")).distinct()
-        .select("_key", "entity", F.explode("terms").alias("term"))
-        .join(found, ["entity", "term"]).groupBy("_key", "term").agg(F.max("share").alias("share"))
-    )
-
-    def words(condition: Column) -> Column:
-        listed = F.array_join(F.array_sort(F.collect_list(F.when(condition, F.col("term")))), "|")
-        return F.when(listed != "", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), listed, F.lit(r")(?![\p{L}\p{N}])")))
-
-    whole = F.col("share") >= 1.0 - 1e-9
-    patterns = materialize(
-        affected.groupBy("_key").agg(words(~whole).alias("_term"), words(whole).alias("_reveal"))
-    )
+    entities = F.array_distinct(F.transform("base", lambda s: _entity(s["kind"], s["value"])))
+    # Only texts with an entity; equal texts are one.
+    owned = materialize(marked.filter(F.size("base") > 0).select(F.xxhash64(text).alias("_key"), text.alias("_text"), entities.alias("entities")))
+    owners = owned.select("_key", F.explode("entities").alias("entity")).distinct()
+    # By terms first: a term that gives entities away stands near few others, so a text meets no entity that
+    # isn't its own much more often than those that are.
+    words = owned.select("_key", F.explode(_terms(F.col("_text"))).alias("term")).distinct()
+    hits = words.join(found, "term").join(owners, ["_key", "entity"]).groupBy("_key", "term").agg(F.max("kind").alias("kind"))
+    hits = materialize(hits)
+    affected = owned.join(hits.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.first("_text").alias("_text"))
+    placed = affected.select("_key", F.explode(spans_of(F.col("_text"), TERM, "term")).alias("w")).select("_key", F.lower("w.value").alias("term"), "w")
+    one = F.struct(F.col("w.start").alias("start"), F.col("kind").alias("kind"), F.col("w.stop").alias("stop"), F.col("w.value").alias("value"))
+    more = materialize(placed.join(hits, ["_key", "term"]).groupBy("_key").agg(F.collect_list(one).alias("_more")))
     key = F.when(F.size("base") > 0, F.xxhash64(text)).otherwise(F.xxhash64(F.lit("no entity"), F.col(id_col), F.length(text)))
-    joined = marked.withColumn("_key", key).join(patterns, "_key", "left")
+    joined = marked.withColumn("_key", key).join(more, "_key", "left")
+    spans = F.when(F.col("_more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.col("_more").cast(SPAN))))
     none = F.array().cast(SPAN)
-    more = [
-        F.when(F.col(c).isNotNull(), spans_of(text, F.col(c), kind)).otherwise(none)
-        for c, kind in (("_term", "term"), ("_reveal", "reveal"))
-    ]
-    spans = F.when(F.col("_term").isNull() & F.col("_reveal").isNull(), F.col("base")).otherwise(
-        F.array_sort(F.concat("base", *more))
-    )
     others = documents.filter(~_guarded(text)).withColumn("base", none).withColumn("spans", none)
-    return joined.withColumn("spans", spans).drop("_key", "_term", "_reveal").unionByName(others)
+    return joined.withColumn("spans", spans).drop("_key", "_more").unionByName(others)
 
 
 def written(spans: Column) -> Column:
@@ -258,23 +337,30 @@ def sanitized_text(text: Column, spans: Column) -> Column:
 
     def shown(s: Column) -> Column:
         general = F.when(s["value"].rlike(r"^\p{N}+$"), "<NUMBER>").when(s["value"].rlike(r"^\p{Lu}"), "<NAME>").otherwise("<WORD>")
-        return F.when(s["kind"] < len(PLACEHOLDERS), words[s["kind"]]).when(s["kind"] == KINDS.index("term"), general).otherwise("")
-
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        kept = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], s["stop"]).alias("at"),
-            F.when(apart, F.concat(state["out"], F.array(kept, shown(s)))).otherwise(state["out"]).alias("out"),
+        return (
+            F.when(s["kind"] < len(PLACEHOLDERS), words[s["kind"]]).when(s["kind"] == KINDS.index("stem"), _stem(s["value"]))
+            .when(s["kind"] == KINDS.index("term"), general).otherwise("")
+        )
+
+    def piece(parts: Column, a: Column, b: Column) -> Column:
+        """Code points a to b, from the few parts that hold them."""
+        first = F.floor(a / PART).cast("int")
+        joined = F.array_join(F.slice(parts, first + 1, F.floor((b - 1) / PART).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(joined, a - first * PART + 1, b - a)).otherwise("")
+
+    def rebuilt(x: Column) -> Column:
+        """``at`` is the end of all spans before."""
+        ends = _running(F.transform(x["spans"], lambda s: s["stop"]), F.lit(0), lambda at, stop: F.greatest(at, stop))
+        rows = F.arrays_zip(x["spans"].alias("s"), ends.alias("at"))
+        out = F.transform(
+            rows, lambda z: F.when(z["s"]["start"] >= z["at"], F.concat(piece(x["parts"], z["at"], z["s"]["start"]), shown(z["s"]))).otherwise("")
         )
+        last = F.array_max(F.transform(x["spans"], lambda s: s["stop"]))
+        return F.concat(F.array_join(out, ""), piece(x["parts"], last, x["size"]))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def finish(state: Column) -> Column:
-        rest = F.substring(text, state["at"] + 1, F.length(text))
-        return F.array_join(F.concat(state["out"], F.array(rest)), "")
-
-    return F.when(F.size(spans) > 0, F.aggregate(spans, empty, step, finish)).otherwise(text)
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    whole = F.struct(parts.alias("parts"), spans.alias("spans"), F.length(text).alias("size"))
+    return F.when(F.size(spans) > 0, _let(whole, rebuilt)).otherwise(text)
 
 
 def sanitize(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
