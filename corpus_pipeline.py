@@ -27,7 +27,7 @@ def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Calla
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         name = "spark.sql.execution.arrow.maxBytesPerBatch"
-        if int(spark.conf.get(name, "-1")) not in range(1, BATCH_BYTES):
+        if spark.conf.get(name, None) is None:
             spark.conf.set(name, str(BATCH_BYTES))
         return stage(spark, docs, sf_dir)
 
