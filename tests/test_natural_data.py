@@ -104,15 +104,18 @@ def test_only_ids_and_digests_are_exchanged_for_copies(spark):
 
 
 @pytest.mark.parametrize("trees, per_tree", [(3, 10), (30, 60), (5, 400)])
-def test_every_tree_draws_its_own_rows_at_every_size(spark, trees, per_tree):
+def test_every_tree_draws_its_own_rows_at_every_size(spark, monkeypatch, trees, per_tree):
     """Below and above as many rows as all trees take together the samples follow the same rule."""
+    monkeypatch.setattr(iforest, "_DRAWN", 64)  # so that the smallest are picked again and again
     rows = spark.range(400).withColumn("x", F.col("id") * 1.0)
     got = {}
     for r in iforest._tree_samples(rows, "id", 400, trees, per_tree, 7).collect():
         got.setdefault(r["tree"], set()).add(r["id"])
     assert sorted(got) == list(range(trees))
-    drawn = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t")).select(
-        "id", "t", F.substring(F.md5(F.concat_ws("|", F.lit("7"), F.lit("tree"), "id", F.floor(F.col("t") / 4))), F.col("t") % 4 * 8 + 1, F.lit(8)).alias("d")
+    digest = F.md5(F.concat_ws("|", F.lit("7"), F.lit("tree"), "id"))
+    a, b = (F.conv(F.substring(digest, at, 12), 16, 10).cast("long") for at in (1, 13))
+    drawn = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t"), a.alias("a"), b.alias("b")).select(
+        "id", "t", ((F.col("a") + F.col("t") * F.col("b")) % iforest.DRAW_RANGE).alias("d")
     )
     want = {}
     for r in drawn.orderBy("t", "d", "id").collect():

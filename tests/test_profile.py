@@ -94,3 +94,26 @@ def test_summary_and_modes(spark):
     row = profile.summary(df, ["x"]).first()
     assert (row["count"], row["mean"], row["q50"], row["max"]) == (3, 2.3, 2.0, 4.0)
     assert profile.column_modes(df, ["s"]) == {"s": "a"}
+
+
+def test_indexed_label_distances_equal_all_comparisons(spark):
+    import random
+
+    from veritab.operators import labels
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcé😀", k=rng.randint(1, 7)))
+    allowed = {"x": [word() for _ in range(80)] + ["q" * 60], "y": ["label"]}
+    keys = [word() for _ in range(300)] + ["", None, "q" * 59, "zzzzzzzzzzzz", "bale", "abc" * 30]
+    frame = spark.createDataFrame([(c, k) for c in ("x", "y", "z") for k in keys], "column string, key string")
+    got = {(r["column"], r["key"]): r["edit_distance"] for r in labels.label_distances(frame, allowed).collect()}
+    want = {(c, k): min((edits(k, a) for a in allowed.get(c, [])), default=0) if k else 0 for c in ("x", "y", "z") for k in keys}
+    assert got == want

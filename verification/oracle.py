@@ -259,6 +259,16 @@ def nearest(spec: TableSpec, extra: str = "") -> str:
     )
 
 
+def nearest_of_many(spec: TableSpec) -> str:
+    """The same pairs in two passes that hold no list of pairs: the least distance, then its smallest id."""
+    d = pair_distance(spec)
+    return (
+        f"least AS MATERIALIZED (SELECT a.id, min({d}) AS distance FROM zs a JOIN zs b ON b.id < a.id GROUP BY a.id), "
+        "za AS MATERIALIZED (SELECT zs.*, least.distance AS best FROM zs JOIN least USING (id)), "
+        f"pairs AS MATERIALIZED (SELECT a.id, min(b.id) AS partner, any_value(a.best) AS distance FROM za a JOIN zs b ON b.id < a.id AND {d} = a.best GROUP BY a.id)"
+    )
+
+
 def keyed_pairs(spec: TableSpec) -> str:
     """CTE pairs: the nearest earlier record that differs in one column at most."""
     columns = [f"z_{c}" for c in spec.numbers] + [f"t_{c}" for c in spec.categories]

@@ -13,8 +13,10 @@ from veritab.functions.text import (
     has_case_mismatch,
     has_edge_space,
 )
+from veritab.operators.complete import complete_pairs
 from veritab.operators.copies import copy_counts
 from veritab.operators.keyed import keyed_pairs
+from veritab.operators.labels import INDEXED, label_distances
 from veritab.operators.nearest import nearest_earlier, nearest_pairs
 from veritab.operators.profile import ColumnStats, cell_key, column_stats, value_counts
 from veritab.operators.skew import heavy_lookup
@@ -32,17 +34,15 @@ def feature_names(spec: TableSpec) -> list[str]:
     return COLUMN_FEATURES + ROW_FEATURES + [f"col_{c}" for c in spec.features]
 
 
-#: The nearest earlier record: among those that differ in one column at most, or among all.
-SEARCHES = {"keyed": keyed_pairs, "exact": nearest_pairs}
+#: The nearest earlier record over all columns, by keys and a tree or by the tree alone; or among those
+#: that differ in one column at most, where a distance that isn't known stays NULL.
+SEARCHES = {"complete": complete_pairs, "exact": nearest_pairs, "keyed": keyed_pairs}
 
 
-def row_features(df: DataFrame, spec: TableSpec, search: str = "keyed") -> DataFrame:
+def row_features(df: DataFrame, spec: TableSpec, search: str = "complete") -> DataFrame:
     """id with the three row features; copies here ignore the target."""
     copies = copy_counts(df, spec.features, spec.id_col)
-    # The keyed search finds partners one column away only; a record without one lies further off,
-    # as far as one that differs in every column.
-    apart = float(len(spec.features)) if search == "keyed" else None
-    nearest = nearest_earlier(materialize(SEARCHES[search](df, spec)), spec.id_col, apart)
+    nearest = nearest_earlier(materialize(SEARCHES[search](df, spec)), spec.id_col, search != "keyed")
     zero = F.lit(0).cast("bigint")
     return nearest.join(copies, spec.id_col, "left").select(
         spec.id_col,
@@ -95,13 +95,21 @@ def uses_lowercase_labels(spec: TableSpec) -> bool:
 def value_table(df: DataFrame, spec: TableSpec) -> DataFrame:
     """Per distinct value: how frequent it is, and how far from the nearest allowed label.
 
-    The edit distance is computed once per value here, not once per cell.
+    The edit distance is computed once per value here, not once per cell, and for columns with many labels
+    through an index.
     """
     counts = value_counts(df, spec)
     distance = F.lit(0)
+    many = {c: allowed for c, allowed in spec.allowed.items() if len(allowed) >= INDEXED}
     for c, allowed in spec.allowed.items():
-        distance = F.when(F.col("column") == c, edit_distance_to(F.col("key"), allowed)).otherwise(distance)
-    return counts.withColumn("edit_dist_to_allowed", distance)
+        if c not in many:
+            distance = F.when(F.col("column") == c, edit_distance_to(F.col("key"), allowed)).otherwise(distance)
+    if not many:
+        return counts.withColumn("edit_dist_to_allowed", distance)
+    counts = materialize(counts)
+    indexed = label_distances(counts.filter(F.col("column").isin(*many)), many)
+    found = F.coalesce("edit_distance", distance)
+    return counts.join(indexed, ["column", "key"], "left").withColumn("edit_dist_to_allowed", found).drop("edit_distance")
 
 
 def column_features(df: DataFrame, spec: TableSpec, carry: Sequence[str] = (), labels: str | None = None) -> DataFrame:
@@ -151,7 +159,7 @@ def column_features(df: DataFrame, spec: TableSpec, carry: Sequence[str] = (), l
     )
 
 
-def build_cell_features(df: DataFrame, spec: TableSpec, search: str = "keyed", mask: DataFrame | None = None) -> DataFrame:
+def build_cell_features(df: DataFrame, spec: TableSpec, search: str = "complete", mask: DataFrame | None = None) -> DataFrame:
     """Long table with the keys (id, column) and every feature of :func:`feature_names`.
 
     Row features join once per record, before the record is spread over its cells, and so does the
