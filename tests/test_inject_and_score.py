@@ -184,3 +184,38 @@ def test_label_crosstab_covers_every_cell(injected):
     assert sum(r["n"] for r in table) == injected.table.count() * 4
     assert all(r["truth"] == r["guess"] for r in table)
     assert cells.all_cells(injected.table, "o_orderkey", ORDERS.features).count() == injected.table.count() * 4
+
+
+def test_masks_of_wide_tables_equal_plain_counts(spark):
+    """More columns than one mask holds, labels that no type knows, and a majority on either side."""
+    import random
+
+    from veritab.operators import score
+    from veritab.spec import CELL_ERROR_TYPES, ERROR_TYPES, TableSpec
+
+    spec = TableSpec(name="w", id_col="id", columns={f"c{i}": "numeric" for i in range(130)})
+    rng = random.Random(3)
+    sides = []
+    for _ in range(2):
+        cells = {}
+        for i in range(40):
+            whole = rng.choice([None, None, "exact_duplicate", "near_duplicate"])
+            for c in spec.features:
+                label = whole if whole and rng.random() < 0.7 else rng.choice([None] * 12 + [*ERROR_TYPES, "other"])
+                if label:
+                    cells[i, c] = label
+        sides.append(cells)
+    truth, guess = sides
+    frames = [spark.createDataFrame([(i, c, label) for (i, c), label in s.items()], "id long, column string, label string") for s in sides]
+    got = {r["error_type"]: r for r in score.score_by_type(*frames, spec, "m").collect()}
+    for e in ERROR_TYPES:
+        if e in CELL_ERROR_TYPES:
+            t, g, any_g = {k for k, v in truth.items() if v == e}, {k for k, v in guess.items() if v == e}, set(guess)
+        else:
+            most = lambda s: {i for i in range(40) if 2 * sum(s.get((i, c)) == e for c in spec.features) > 130}  # noqa: B023, E731
+            t, g, any_g = most(truth), most(guess), {i for i, _ in guess}
+        hits = len(t & g)
+        assert got[e]["support"] == len(t)
+        assert got[e]["precision"] == pytest.approx(hits / len(g) if g else 0)
+        assert got[e]["recall"] == pytest.approx(hits / len(t) if t else 0)
+        assert got[e]["recall_any"] == (pytest.approx(len(t & any_g) / len(t)) if t else None)

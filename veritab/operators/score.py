@@ -40,33 +40,8 @@ def binary_scores(support: str, predicted: str, hits: str) -> dict[str, Column]:
     return {"precision": _ratio(h, p), "recall": _ratio(h, s), "f1": _ratio(2 * h, s + p)}
 
 
-def _scores_per_type(pairs: DataFrame, types: Sequence[str], method: str, level: str) -> DataFrame:
-    """Scores from (truth, guess, flagged, n) counts."""
-
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-
-    truth, guess = F.col("truth"), F.col("guess")
-    counted = pairs.agg(
-        F.array(*[
-            F.struct(
-                F.lit(e).alias("error_type"),
-                total(truth == e).alias("support"),
-                total(guess == e).alias("predicted"),
-                total((truth == e) & (guess == e)).alias("hits"),
-                total((truth == e) & F.col("flagged")).alias("caught"),
-            )
-            for e in types
-        ]).alias("types")
-    ).select(F.explode("types").alias("t")).select("t.*")
-    return counted.select(
-        F.lit(method).alias("method"),
-        "error_type",
-        F.lit(level).alias("level"),
-        "support",
-        *[c.alias(n) for n, c in binary_scores("support", "predicted", "hits").items()],
-        F.when(F.col("support") > 0, F.col("caught") / F.col("support")).alias("recall_any"),
-    )
+#: Columns of a record that one mask holds.
+_MASK_BITS = 63
 
 
 def label_pairs(truth: DataFrame, guess: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -76,33 +51,77 @@ def label_pairs(truth: DataFrame, guess: DataFrame, on: Sequence[str]) -> DataFr
     )
 
 
+def label_masks(truth: DataFrame, guess: DataFrame, spec: TableSpec) -> DataFrame:
+    """One row per record with a label on either side: bit masks of the columns that carry each label.
+
+    ``truth_<type>`` and ``guess_<type>`` are arrays of masks, 63 columns each; ``guess_any`` has all that is flagged.
+    Truth and guess meet in this one exchange, in which a task sends a record's masks and not its cells.
+    """
+    columns = spec.features
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col("column")).cast("int") - 1
+    cells = truth.select(spec.id_col, "column", "label", F.lit(True).alias("_true")).unionByName(
+        guess.select(spec.id_col, "column", "label", F.lit(False).alias("_true"))
+    )
+    placed = cells.withColumn("_place", place).filter("_place >= 0").withColumn("_bit", F.expr(f"shiftleft(1L, _place % {_MASK_BITS})"))
+    words = range(-(-len(columns) // _MASK_BITS))
+
+    def mask(condition: Column, name: str) -> Column:
+        parts = [F.bit_or(F.when(condition & (F.floor(F.col("_place") / _MASK_BITS) == w), F.col("_bit")).otherwise(F.lit(0).cast("bigint"))) for w in words]
+        return F.array(*parts).alias(name)
+
+    wanted = [mask(~F.col("_true"), "guess_any")]
+    for e in ERROR_TYPES:
+        wanted += [mask(F.col("_true") & (F.col("label") == e), f"truth_{e}"), mask(~F.col("_true") & (F.col("label") == e), f"guess_{e}")]
+    return placed.groupBy(spec.id_col).agg(*wanted)
+
+
+def _bits(masks: Column) -> Column:
+    return F.aggregate(masks, F.lit(0).cast("bigint"), lambda total, m: total + F.bit_count(m))
+
+
+def _both(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
+
+
+def _scores_of_masks(masks: DataFrame, types: Sequence[str], spec: TableSpec, method: str) -> DataFrame:
+    """One row per type, from one aggregate: cells are counted as bits, records by what most of their bits say."""
+    half, flagged = len(spec.features), F.col("guess_any")
+    counts = []
+    for e in types:
+        truth, guess = F.col(f"truth_{e}"), F.col(f"guess_{e}")
+        if e in CELL_ERROR_TYPES:
+            parts = {"support": _bits(truth), "predicted": _bits(guess), "hits": _bits(_both(truth, guess)), "caught": _bits(_both(truth, flagged))}
+        else:
+            is_true, is_guess = _bits(truth) * 2 > half, _bits(guess) * 2 > half
+            flags = {"support": is_true, "predicted": is_guess, "hits": is_true & is_guess, "caught": is_true & (_bits(flagged) > 0)}
+            parts = {name: flag.cast("bigint") for name, flag in flags.items()}
+        level = "cell" if e in CELL_ERROR_TYPES else "row"
+        totals = [F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(name) for name, c in parts.items()]
+        counts.append(F.struct(F.lit(e).alias("error_type"), F.lit(level).alias("level"), *totals))
+    counted = masks.agg(F.array(*counts).alias("types")).select(F.explode("types").alias("t")).select("t.*")
+    return counted.select(
+        F.lit(method).alias("method"),
+        "error_type",
+        "level",
+        "support",
+        *[c.alias(n) for n, c in binary_scores("support", "predicted", "hits").items()],
+        F.when(F.col("support") > 0, F.col("caught") / F.col("support")).alias("recall_any"),
+    )
+
+
 def score_cells(truth: DataFrame, guess: DataFrame, spec: TableSpec, method: str) -> DataFrame:
     """Scores of the cell error types, one unit per cell."""
-    pairs = label_pairs(truth, guess, [spec.id_col, "column"])
-    counts = pairs.groupBy("truth", "guess", F.col("guess").isNotNull().alias("flagged")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return _scores_per_type(counts, CELL_ERROR_TYPES, method, "cell")
+    return _scores_of_masks(label_masks(truth, guess, spec), CELL_ERROR_TYPES, spec, method)
 
 
 def score_duplicates(truth: DataFrame, guess: DataFrame, spec: TableSpec, method: str) -> DataFrame:
     """Scores of the duplicate types, one unit per record, by majority label on both sides."""
-    pairs = label_pairs(
-        majority_labels(truth, spec), majority_labels(guess, spec), [spec.id_col]
-    )
-    touched = guess.select(spec.id_col).distinct().withColumn("flagged", F.lit(True))
-    marked = pairs.join(touched, spec.id_col, "left")
-    counts = marked.groupBy(
-        "truth", "guess", F.coalesce("flagged", F.lit(False)).alias("flagged")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return _scores_per_type(counts, ROW_ERROR_TYPES, method, "row")
+    return _scores_of_masks(label_masks(truth, guess, spec), ROW_ERROR_TYPES, spec, method)
 
 
 def score_by_type(truth: DataFrame, guess: DataFrame, spec: TableSpec, method: str) -> DataFrame:
     """One row per error type, in report order."""
-    return score_cells(truth, guess, spec, method).unionByName(
-        score_duplicates(truth, guess, spec, method)
-    )
+    return _scores_of_masks(label_masks(truth, guess, spec), ERROR_TYPES, spec, method)
 
 
 def roc_auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
