@@ -195,7 +195,8 @@ def pack(documents: DataFrame, path: str, limit: int = LIMIT, end: int = END, id
     dealt = cut.join(F.broadcast(buckets), "length").withColumn(
         "bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), "buckets")
     )
-    within = Window.partitionBy("length", "bucket").orderBy(id_col, "piece")
+    # Rows that agree in all of these are the same piece, so a task that runs again deals the same places.
+    within = Window.partitionBy("length", "bucket").orderBy(id_col, "piece", "start", "ids_crc32")
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("size"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
