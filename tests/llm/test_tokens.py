@@ -31,6 +31,19 @@ def test_ids_and_texts_equal_the_library(path):
         assert own.decode(ids, bounds) == decoded
 
 
+def test_characters_newer_than_pythons_tables_equal_the_library():
+    import sys
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    new = np.flatnonzero(bpe.unassigned())
+    texts = [f"a{chr(i)}b {chr(i)} x{chr(i)}" for i in [0x1C89, 0xA7CB, *new[new < 0x20000][::97].tolist()] if not 0xD800 <= i < 0xE000]
+    texts += ["plain", "", "é"]
+    for a, b, ids, bounds in bpe.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode(texts):
+        for i, t in enumerate(texts[a:b]):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert bpe.holding_unassigned(texts) >= {0, 1} and len(texts) - 1 not in bpe.holding_unassigned(texts) and sys.maxunicode
+
+
 def test_a_full_word_table_starts_anew(monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_BITS", 6)
     own, library = bpe.Encoder(WORD), Tokenizer.from_file(WORD)

@@ -42,6 +42,20 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@cache
+def unassigned() -> np.ndarray:
+    """Code points that this Python's Unicode tables do not know; the library's may be newer."""
+    return np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)), bool, 0x110000)
+
+
+def holding_unassigned(texts: list[str]) -> set[int]:
+    """The texts that hold such a code point."""
+    if all(map(str.isascii, texts)):
+        return set()
+    points, starts = W.code_points(texts)
+    return set((np.searchsorted(starts, np.flatnonzero(unassigned()[points]), side="right") - 1).tolist())
+
+
 def _runs(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of one class: start, end, class, and whether a text begins there."""
     kind = W.classes()[points]
@@ -253,7 +267,7 @@ class Encoder:
         """For ranges [a, b) of ``texts``: all their ids, and where each text's begin, with the end."""
         for a, b in W.chunks(texts):
             some = texts[a:b]
-            strange = [i for i, t in enumerate(some) if any(s in t for s in self.special)]
+            strange = sorted({i for i, t in enumerate(some) if any(s in t for s in self.special)} | holding_unassigned(some))
             plain = some if not strange else ["" if i in set(strange) else t for i, t in enumerate(some)]
             ids, bounds = self._encode_some(plain)
             if strange:
@@ -321,7 +335,8 @@ def encode_and_decode(documents: DataFrame, path: str, id_col: str = "doc_id", t
 def encoding_digests(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id, n_tokens, and digests of its ids and of their decoded text.
 
-    The digests are taken where the ids are made, so that ids never leave the task.
+    A null text counts as empty and has no tokens. Repeated rows are encoded each for itself, null ids stay,
+    other columns are not read, and no documents give no rows. The digests are taken where the ids are made, so that ids never leave the task.
     """
     id_type = documents.schema[id_col].dataType.simpleString()
 
