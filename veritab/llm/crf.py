@@ -17,13 +17,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veritab.llm import words as W
 
 #: Bounds of the fitting sample: so many labelled documents, none with more lines than this.
 SAMPLE_DOCUMENTS = 6000
 SAMPLE_LINES = 2000
+#: Bound of the lines of all of them together, which the driver holds.
+SAMPLE_ALL_LINES = 1_000_000
 THRESHOLD = 0.7
 #: Code points that a task looks at at once.
 CHUNK = 400_000
@@ -243,7 +245,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit_on(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCUMENTS) -> Model:
     """Fit on at most ``sample`` labelled documents that are not held out, drawn by a hash of the id.
 
-    Labels that are null or contradict each other are left out. Texts stay on the executors; the
+    Labels that are null or contradict each other are left out; of rows that repeat an id the smallest text counts. Documents
+    are taken in the order of the hash as long as all their lines stay within ``SAMPLE_ALL_LINES``. Texts stay on the executors; the
     driver gets the bins of their lines. Without any label every text scores 0.5.
     """
     chosen = (
@@ -253,7 +256,9 @@ def fit_on(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     )
     text = documents.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     text = text.filter(F.size(F.split("_text", "\n")) <= SAMPLE_LINES)
-    rows = text.join(F.broadcast(chosen), id_col)  # at most ``sample`` rows
+    rows = text.join(F.broadcast(chosen), id_col).groupBy(id_col, "label").agg(F.min("_text").alias("_text"))  # at most ``sample`` rows
+    before = Window.orderBy(F.xxhash64(id_col), id_col)
+    rows = rows.withColumn("_lines", F.sum(F.size(F.split("_text", "\n"))).over(before)).filter(F.col("_lines") <= SAMPLE_ALL_LINES).drop("_lines")
 
     def run(batches):
         for batch in batches:
