@@ -219,3 +219,26 @@ def test_masks_of_wide_tables_equal_plain_counts(spark):
         assert got[e]["precision"] == pytest.approx(hits / len(g) if g else 0)
         assert got[e]["recall"] == pytest.approx(hits / len(t) if t else 0)
         assert got[e]["recall_any"] == (pytest.approx(len(t & any_g) / len(t)) if t else None)
+
+
+def test_row_vectors_reach_mllib(spark):
+    from pyspark.ml.clustering import KMeans
+
+    from veritab.operators.iforest import fit_matrix
+    from veritab.operators.vectors import row_vectors, vocabulary
+    from veritab.spec import TableSpec
+
+    spec = TableSpec(name="v", id_col="id", columns={"x": "numeric", "c": "category", "d": "category"})
+    rows = [(i, None if i == 3 else float(i % 4), "ab"[i % 2] if i else None, "p") for i in range(20)]
+    df = spark.createDataFrame(rows, "id bigint, x double, c string, d string")
+    matrix = fit_matrix(df, spec)
+    words = [(r["column"], r["value"], r["place"]) for r in vocabulary(matrix.apply(df), matrix).orderBy("place").collect()]
+    assert words == [("c", "b", 0), ("c", "a", 1), ("d", "p", 2)] or words == [("c", "a", 0), ("c", "b", 1), ("d", "p", 2)]
+    vectors = row_vectors(df, matrix)
+    first = {r["id"]: r["features"] for r in vectors.collect()}
+    assert all(v.size == 1 + 3 + 3 for v in first.values())
+    dense = first[3].toArray()
+    assert dense[1] == 1.0 and dense[0] == 0.0 and dense[4:].sum() == 2.0
+    assert KMeans(k=2, seed=1).fit(vectors).transform(vectors).count() == 20
+    numbers = TableSpec(name="v", id_col="id", columns={"x": "numeric"})
+    assert row_vectors(df.select("id", "x"), fit_matrix(df, numbers)).first()["features"].size == 2

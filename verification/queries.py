@@ -33,6 +33,7 @@ from veritab.operators import (
     rules,
     score,
     split,
+    vectors,
 )
 from veritab.operators.quantiles import quantile_frame
 from veritab.operators.rank import ordered_index
@@ -858,6 +859,29 @@ def f3(spark, folder):
     return rows.select("o_orderkey", *[f"miss_{c}" for c in ORDERS.features])
 
 
+_FIELDS = len(ORDERS.numbers) + len(ORDERS.features)
+_HOT = " UNION ALL ".join(f"SELECT id, {i} AS c, coalesce({c}, {_mode(c)}) AS value FROM inj" for i, c in enumerate(ORDERS.categories))
+
+
+@query(
+    "f2_f3_sparse_rows",
+    INJ_STATS + f""", hot AS MATERIALIZED ({_HOT}),
+    words AS (SELECT c, value, row_number() OVER (ORDER BY c, count(*) DESC, value) - 1 AS place FROM hot GROUP BY c, value)
+    SELECT id AS o_orderkey, (place + {_FIELDS})::INT AS place, 1.0::DOUBLE AS value FROM hot JOIN words USING (c, value) UNION ALL """
+    + " UNION ALL ".join(
+        f"SELECT id, {i}, {sql.r6(f'(coalesce({c}, med_{c}) - med_{c}) / ({_iqr_width(c)})')} FROM inj, st WHERE coalesce({c}, med_{c}) <> med_{c}"
+        for i, c in enumerate(ORDERS.numbers)
+    )
+    + " UNION ALL "
+    + " UNION ALL ".join(f"SELECT id, {len(ORDERS.numbers) + i}, 1.0 FROM inj WHERE {c} IS NULL" for i, c in enumerate(ORDERS.features)),
+)
+def f2_f3(spark, folder):
+    matrix, rows = orders_matrix(spark, folder)
+    entries, _ = vectors.sparse_entries(rows, matrix)
+    pairs = entries.select("o_orderkey", F.explode(F.arrays_zip("indices", "values")).alias("x"))
+    return rounded(pairs.select("o_orderkey", F.col("x.indices").alias("place"), F.col("x.values").alias("value")))
+
+
 def row_forest(spark: SparkSession, folder: str) -> iforest.IsolationForest:
     return once(
         spark, folder, "row forest",
