@@ -1333,7 +1333,7 @@ _BY_SEED = " UNION ALL ".join(
 @query("g12_repeated_experiment", f"WITH runs AS ({_BY_SEED}) SELECT method, error_type, {_SEED_SUMMARY} FROM runs GROUP BY method, error_type")
 def g12_seeds(spark, folder):
     """The whole comparison for ten seeds; the rules' rows and all supports are known from SQL."""
-    summary = repeat_experiment(table(spark, folder, "part"), PART, _SEEDS, parallel=5, trees=10, depth=8, row_trees=25, search="exact")
+    summary = repeat_experiment(table(spark, folder, "part"), PART, _SEEDS, parallel=10, trees=10, depth=8, row_trees=25, search="exact")
     kept = [c for c in summary.columns if c.endswith(("_mean", "_std"))]
     ruled = F.col("method") == RULES
     return summary.select("method", "error_type", "support_total", *[F.when(ruled, F.col(c)).alias(c) for c in kept])
