@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from veritab.functions.hashing import column, draw
@@ -1361,9 +1363,15 @@ _RULES_BY_SEED = " UNION ALL ".join(
 )
 def g12_rule_seeds(spark, folder):
     """New errors for every seed, found by the rules, scored and summarised."""
+    orders = table(spark, folder, "orders")
+
+    def planted(seed: int) -> inject.Injected:
+        return inject.inject_errors(orders, ORDERS, RATE, seed)
+
+    with ThreadPoolExecutor(5) as pool:
+        by_seed = list(pool.map(inheritable_thread_target(spark)(planted), _SEEDS))
     runs = []
-    for s in _SEEDS:
-        found = inject.inject_errors(table(spark, folder, "orders"), ORDERS, RATE, s)
+    for found in by_seed:
         said = rules.rule_cells(found.table, ORDERS)
         runs.append(score.result_table([
             score.score_by_type(found.cell_truth, said, ORDERS, RULES),
