@@ -117,3 +117,16 @@ def test_indexed_label_distances_equal_all_comparisons(spark):
     got = {(r["column"], r["key"]): r["edit_distance"] for r in labels.label_distances(frame, allowed).collect()}
     want = {(c, k): min((edits(k, a) for a in allowed.get(c, [])), default=0) if k else 0 for c in ("x", "y", "z") for k in keys}
     assert got == want
+
+
+def test_label_distances_of_a_table_of_labels(spark):
+    """Labels stay in a table, and their patterns are exchanged, not sent whole to the driver and every task."""
+    from veritab.operators import labels
+
+    known = spark.createDataFrame([("x", f"label-{i:05d}") for i in range(0, 4000, 10)] + [("x", None), ("x", "label-00000")], "column string, label string")
+    keys = [("label-00010", 0), ("label-0001", 1), ("label-01230", 0), ("labl-0123", 2), ("12label-00010", 2), ("Label-00011", 2), ("elabl-00010", 2), ("", 0), ("lab", 8)]
+    found = labels.label_distances(spark.createDataFrame([("x", k) for k, _ in keys], "column string, key string"), known)
+    assert {r["key"]: r["edit_distance"] for r in found.collect()} == dict(keys)
+    some = known.limit(9).withColumnRenamed("label", "key")
+    plan = labels._within(some, known, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -575,9 +575,9 @@ _feature_query("e6_in_allowed_set", "in_allowed_set")
 def e7_indexed(spark, folder):
     """Every name against the names of a tenth of the customers, a quarter of them changed beyond the radius."""
     customers = table(spark, folder, "customer").withColumn("c_name", F.expr("replace(c_name, '00000', '')"))
-    chosen = customers.filter("c_custkey % 10 = 0").selectExpr("c_name || CASE WHEN c_custkey % 4 = 0 THEN 'xyz' ELSE '' END")
+    chosen = customers.filter("c_custkey % 10 = 0").selectExpr("'c_name' AS column", "c_name || CASE WHEN c_custkey % 4 = 0 THEN 'xyz' ELSE '' END AS label")
     names = customers.selectExpr("'c_name' AS column", "c_name AS key")
-    return labels.label_distances(names, {"c_name": [r[0] for r in chosen.collect()]}).select("key", "edit_distance")
+    return labels.label_distances(names, chosen).select("key", "edit_distance")
 
 
 _feature_query("e7_edit_dist_to_allowed", "edit_dist_to_allowed")
