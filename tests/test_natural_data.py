@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veritab.operators import clean, copies, iforest, inject, profile, quantiles, rules, split
 from veritab.plans.presets import ORDERS
-from veritab.session import materialize, removed_after, scratch_path
+from veritab import session
+from veritab.session import materialize, removed_after, scratch_path, spread_evenly
 from veritab.spec import TableSpec
 
 SPEC = TableSpec(
@@ -142,3 +143,13 @@ def test_injection_needs_two_scans(spark, folder, monkeypatch):
     first = inject.pick_cells(orders, ORDERS, 42, 75)
     monkeypatch.setattr(inject, "_MARGIN", 1)
     assert inject.pick_cells(orders, ORDERS, 42, 75) == first
+
+
+def test_rows_of_one_task_are_spread(spark, monkeypatch):
+    """A file of one row group is read by one task; injection scans it several times."""
+    monkeypatch.setattr(session, "_SPREAD_FROM", 1000)
+    frame = gappy(spark, 2000)
+    one = spread_evenly(frame.coalesce(1), "id")
+    assert one.rdd.getNumPartitions() > 1 and sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, frame.collect()), key=repr)
+    even = frame.repartition(8)
+    assert spread_evenly(even, "id") is even

@@ -94,3 +94,26 @@ def test_cell_rules_take_a_stream(spark, folder, tmp_path):
     streamed = sorted(map(tuple, spark.table("rule_stream").collect()))
     batch = rules.cell_rule_mask(spark.createDataFrame(ROWS, SCHEMA), SPEC)
     assert streamed == sorted(map(tuple, batch.collect()))
+
+
+def test_only_possible_keys_are_exchanged(spark):
+    from veritab.operators.skew import possible, sparse_lookup
+
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    keys = rows.filter("id % 100 = 0").select("h")
+    passed = possible(rows, keys, "h")
+    assert passed.columns == rows.columns
+    assert passed.join(keys, "h", "left_semi").count() == 200 and passed.count() < 3000
+    assert possible(rows, keys.limit(0), "h").count() == 0
+    few = spark.range(0, 20_000, 100).select("id", F.lit(True).alias("late"))
+    some = rows.select(F.when(F.col("id") > 10, F.col("id")).alias("id"), "h")
+    assert sorted(map(tuple, sparse_lookup(some, few, "id").collect()), key=repr) == sorted(map(tuple, some.join(few, "id", "left").select("id", "h", "late").collect()), key=repr)
+
+
+def test_copy_search_exchanges_no_digest_of_single_records(spark):
+    """The records that occur once go as far as an 8-byte hash."""
+    frame = spark.range(10_000).selectExpr("id", "CASE WHEN id < 40 THEN 'same' ELSE concat('text ', id) END AS t")
+    found = copies.copied_rows(frame, ["t"], "id")
+    assert found.count() == 40
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2") < plan.index("Join Inner")
