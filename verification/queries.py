@@ -41,7 +41,7 @@ from veritab.operators.quantiles import quantile_frame
 from veritab.operators.rank import ordered_index
 from veritab.plans.experiment import CELL_FOREST, ROW_FOREST, RULES, repeat_experiment, run_experiment, score_detectors
 from veritab.plans.presets import CUSTOMER, EVENTS, LINEITEM, ORDERS, PART
-from veritab.session import materialize, scratch_path
+from veritab.session import materialize, scratch_path, spread_evenly
 from veritab.sources import files
 from veritab.spec import CELL_ERROR_TYPES, CLEAN, ERROR_TYPES, ROW_ERROR_TYPES, TableSpec
 from verification import oracle as sql
@@ -1363,16 +1363,18 @@ _RULES_BY_SEED = " UNION ALL ".join(
 )
 def g12_rule_seeds(spark, folder):
     """New errors for every seed, found by the rules, scored and summarised."""
-    orders = table(spark, folder, "orders")
+    orders = ORDERS.check_ids(table(spark, folder, "orders"))
+    orders = spread_evenly(orders.select(ORDERS.id_col, *ORDERS.record_columns), ORDERS.id_col)
 
-    def planted(seed: int) -> inject.Injected:
-        return inject.inject_errors(orders, ORDERS, RATE, seed)
+    def planted(seed: int) -> tuple[inject.Injected, DataFrame]:
+        found = inject.inject_errors(orders, ORDERS, RATE, seed, checked=True)
+        return found, materialize(rules.apply_rules(found.table, ORDERS))
 
     with ThreadPoolExecutor(5) as pool:
         by_seed = list(pool.map(inheritable_thread_target(spark)(planted), _SEEDS))
     runs = []
-    for found in by_seed:
-        said = rules.rule_cells(found.table, ORDERS)
+    for found, mask in by_seed:
+        said = cells.labelled_cells(mask, ORDERS)
         runs.append(score.result_table([
             score.score_by_type(found.cell_truth, said, ORDERS, RULES),
             score.score_rows(found.row_truth, said, "o_orderkey", RULES),
