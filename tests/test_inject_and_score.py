@@ -242,3 +242,23 @@ def test_row_vectors_reach_mllib(spark):
     assert KMeans(k=2, seed=1).fit(vectors).transform(vectors).count() == 20
     numbers = TableSpec(name="v", id_col="id", columns={"x": "numeric"})
     assert row_vectors(df.select("id", "x"), fit_matrix(df, numbers)).first()["features"].size == 2
+
+
+def test_forest_is_fitted_and_applied_in_groups_of_trees(spark, monkeypatch):
+    """Only a group's nodes are on the driver; all trees are fitted and vote."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    from veritab.operators.features import feature_names
+
+    names = feature_names(ORDERS)
+    rows = spark.range(400).select(
+        F.col("id").alias("o_orderkey"), F.lit("o_totalprice").alias("column"),
+        *[(F.col("id") % 2 if n == "is_null" else F.xxhash64("id", F.lit(n)) % 5).cast("double").alias(n) for n in names],
+        F.when(F.col("id") % 2 == 1, "missing").otherwise("clean").alias("label"),
+    )
+    monkeypatch.setattr(forest, "GROUP_CELLS", 1600)
+    model = forest.train_forest(rows, ORDERS, trees=10, depth=6)
+    assert [RandomForestClassificationModel.load(p).getNumTrees for p in model.groups] == [4, 4, 2]
+    assert sorted(r["o_orderkey"] for r in model.predict(rows).filter("label = 'missing'").collect()) == list(range(1, 400, 2))
+    assert model.predict(rows).count() == 200
+    assert abs(sum(model.weights) - 1) < 1e-9 and max(model.weights) == model.weights[names.index("is_null")]
