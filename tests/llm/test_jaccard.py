@@ -5,6 +5,7 @@ import pytest
 
 from tests.llm import brute
 from veritab.llm import jaccard
+from veritab.llm.components import components
 
 ODD = [(9001, None), (9002, ""), (9003, " \t\n"), (9004, "one"), (9005, "ONE"), (9006, "one two"), (9007, "one two three four"), (9008, "a b c d e"),
        (9009, "A  b\tc\nd e"), (9010, "é b c d e f"), (None, "a b c d e"), (None, "nobody else says this at all"), (9004, "one"), (9011, "x " * 30000)]
@@ -53,6 +54,21 @@ def test_one_of_each_group_stays(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == want
 
 
+def test_small_tables_take_few_tasks(spark):
+    least = 2 * spark.sparkContext.defaultParallelism
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    settings = {"spark.sql.shuffle.partitions": str(5 * least), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = components(spark.range(3000).selectExpr("id * 5 AS a", "id * 5 + 1 + id % 3 AS b"))
+        assert len(found.inputFiles()) <= least
+        assert {(r["id"], r["component"]) for r in found.collect()} == {(5 * i + j, 5 * i) for i in range(3000) for j in (0, 1 + i % 3)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_duplicates(frame).collect() == []

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from veritab.session import materialize
+from veritab.session import few_tasks, materialize
 
 
 class Forest:
@@ -62,16 +62,18 @@ def components(edges: DataFrame) -> DataFrame:
             return state.select(F.col("big").alias("id"), F.col("small").alias("component")).unionByName(
                 state.select(F.col("small").alias("id"), F.col("small").alias("component")).distinct()
             )
-        print_of = tuple(now)
+        print_of, rows = tuple(now), 2 * now[0]
         both = state.select(F.col("big").alias("u"), F.col("small").alias("v")).unionByName(
             state.select(F.col("small").alias("u"), F.col("big").alias("v"))
         )
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: every larger neighbour of u goes under the smallest one of u.
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("big"), F.col("m").alias("small"))
-        large = materialize(large.mapInArrow(_local_forest, "big long, small long").distinct())
+        large = few_tasks(large, rows).mapInArrow(_local_forest, "big long, small long").distinct()
+        large = materialize(few_tasks(large, rows))
         # Small star: the smaller neighbours of u, and u, go under the smallest of them.
         least = large.groupBy("big").agg(F.min("small").alias("m"))
         near = large.join(least, "big")
         small = near.filter("small <> m").select(F.col("small").alias("big"), F.col("m").alias("small"))
-        state = materialize(small.unionByName(least.select("big", F.col("m").alias("small"))).distinct())
+        state = small.unionByName(least.select("big", F.col("m").alias("small"))).distinct()
+        state = materialize(few_tasks(state, rows))

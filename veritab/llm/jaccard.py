@@ -31,7 +31,7 @@ from veritab.llm.bloom import BlockedBloom
 from veritab.llm.components import components
 from veritab.llm.dedup import one_row_of
 from veritab.llm.spread import lookup_by_size
-from veritab.session import materialize
+from veritab.session import few_tasks, materialize
 
 SIZE = 5
 #: Two documents link when 100 * intersection >= PERCENT * union.
@@ -47,6 +47,8 @@ UNION_SETS = 20_000
 CHUNK = 400_000
 #: Tokens that a task holds at once when it opens groups, about.
 OPEN_TOKENS = 1 << 20
+#: Tokens that count as one row where tasks are sized by ``few_tasks``.
+ROW_TOKENS = 10
 STAR_KEYS = 4
 #: Sets that a task remembers, to pass each on once; forgetting only costs repeated rows.
 REMEMBERED = 500_000
@@ -183,8 +185,8 @@ def short_keys(token: np.ndarray, parts: int) -> np.ndarray:
     return (token >> np.uint64(40)) % np.uint64(parts) << np.uint64(40) | low
 
 
-def frequent_tokens(text: DataFrame, parts: int) -> np.ndarray:
-    """Sorted ``short_keys`` of the frequent tokens, counted over all sets.
+def frequent_tokens(text: DataFrame, parts: int, tokens: int) -> np.ndarray:
+    """Sorted ``short_keys`` of the frequent tokens, counted over all sets, which hold about so many ``tokens``.
 
     Tokens travel in packs of 5 bytes each, one pack per part and chunk.
     """
@@ -208,7 +210,7 @@ def frequent_tokens(text: DataFrame, parts: int) -> np.ndarray:
         return pa.table({"key": pa.array(whole.view(np.int64)), "sets": pa.array(times[often])})
 
     packed = text.mapInArrow(pack, "part long, tokens binary")
-    counted = packed.groupBy("part").applyInArrow(count, "key long, sets long")
+    counted = few_tasks(packed.groupBy("part").applyInArrow(count, "key long, sets long"), tokens // ROW_TOKENS)
     most = counted.orderBy(F.desc("sets"), "key").limit(FREQUENT_MAX).select("key").toArrow()
     return np.sort(most["key"].to_numpy().view(np.uint64))
 
@@ -321,43 +323,42 @@ class Matrix:
         """``sets``: name, n, least, columns; one row each."""
         self.text = text
         share = F.ceil(F.col("members") / GROUP).cast("long")
-        families = sets.groupBy("least").agg(F.count("*").alias("members"))
-        self.sets = materialize(
-            lookup_by_size(sets, families, "least", "members", sets.count()).select(
-                "name", "n", F.xxhash64("least", F.pmod(F.xxhash64("name"), share)).alias("group"), "columns"
-            )
+        self.rows = sets.count()
+        families = materialize(few_tasks(sets.groupBy("least").agg(F.count("*").alias("members")), self.rows))
+        grouped = lookup_by_size(sets, families, "least", "members", self.rows).select(
+            "name", "n", F.xxhash64("least", F.pmod(F.xxhash64("name"), share)).alias("group"), "columns"
         )
-        buckets = 1 + self.sets.count() // UNION_SETS
+        self.sets = materialize(few_tasks(grouped, self.rows))
+        buckets = 1 + self.rows // UNION_SETS
         bucket = F.pmod(F.xxhash64("group"), F.lit(buckets)).alias("bucket")
-        self.unions = materialize(
+        unions = (
             self.sets.select(bucket, "group", "n", "columns").groupBy("bucket")
             .applyInArrow(_unions, "group long, least_n long, union_columns binary")
         )
+        self.unions = materialize(few_tasks(unions, self.rows))
 
-    def qualifying(self, entries: DataFrame) -> DataFrame:
-        """Of (query, group) those where the bound allows a link."""
+    def qualifying(self, entries: DataFrame, rows: int) -> DataFrame:
+        """Of (query, group), about so many ``rows``, those where the bound allows a link."""
         queries = self.sets.select(F.col("name").alias("query"), "n", "columns")
         both = entries.join(queries, "query").join(self.unions, "group")
-        return both.select("query", "group", "n", "columns", "least_n", "union_columns").mapInArrow(
-            _within_bound, "query long, group long"
-        )
+        both = few_tasks(both.select("query", "group", "n", "columns", "least_n", "union_columns"), rows)
+        return both.mapInArrow(_within_bound, "query long, group long")
 
-    def links(self, entries: DataFrame) -> DataFrame:
-        """(a, b) of all links between queries and members of the groups that qualify."""
-        opened = materialize(self.qualifying(entries))
+    def links(self, entries: DataFrame, rows: int) -> DataFrame:
+        """(a, b) of all links between queries and members of the groups that qualify; about so many ``rows`` of entries."""
+        opened = materialize(self.qualifying(entries, rows))
         if opened.isEmpty():
             return opened.select(F.col("query").alias("a"), F.col("query").alias("b"))
         members = self.sets.select("group", "name", "n").join(opened.select("group").distinct(), "group")
-        members = materialize(members)
+        members = materialize(few_tasks(members, self.rows))
         wanted = opened.select(F.col("query").alias("name")).unionByName(members.select("name")).distinct()
-        wanted = materialize(wanted)
-        tokens = materialize(tokens_of(self.text, wanted))
+        wanted = materialize(few_tasks(wanted, self.rows))
+        tokens = materialize(few_tasks(tokens_of(self.text, wanted), self.rows))
         # Requests of a group are dealt to as many shares as keep a share's tokens few.
         sized = opened.join(self.sets.select(F.col("name").alias("query"), "n"), "query")
-        shares = materialize(
-            sized.groupBy("group").agg(F.sum("n").alias("tokens"), F.count("*").alias("requests"))
-            .withColumn("shares", F.ceil(F.col("tokens") / OPEN_TOKENS).cast("long"))
-        )
+        shares = sized.groupBy("group").agg(F.sum("n").alias("tokens"), F.count("*").alias("requests"))
+        shares = shares.withColumn("shares", F.ceil(F.col("tokens") / OPEN_TOKENS).cast("long"))
+        shares = materialize(few_tasks(shares, self.rows))
         load = shares.agg(F.sum("tokens")).first()[0] or 0
         load += members.join(shares, "group").agg(F.sum(F.col("n") * F.col("shares"))).first()[0] or 0
         buckets = 1 + load // OPEN_TOKENS
@@ -374,7 +375,8 @@ class Matrix:
             .join(tokens, "name")
             .select(bucket, *[F.col(c).alias(c) for c in ("group", "share", "name")], F.col("tokens").alias("data"))
         )
-        return requests.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_open_groups, "a long, b long")
+        found = requests.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_open_groups, "a long, b long")
+        return few_tasks(found, int(load) // ROW_TOKENS)
 
 
 def _unions(table: pa.Table) -> pa.Table:
@@ -461,27 +463,24 @@ def tokens_of(text: DataFrame, wanted: DataFrame) -> DataFrame:
 def _star_pairs(hot: DataFrame) -> DataFrame:
     """Each set with the most central set of each of its star keys."""
     stars = hot.filter("star >= 0").select(F.xxhash64("star", "token").alias("key"), "name", "place", "n")
-    share = F.col("place") / F.col("n")
-    central = materialize(
-        stars.groupBy("key").agg(F.min_by("name", F.struct(share, F.col("name"))).alias("center"), F.count("*").alias("rows"))
-    )
-    pairs = lookup_by_size(stars.select("key", "name"), central.filter("rows > 1"), "key", "rows", stars.count())
+    share, total = F.col("place") / F.col("n"), stars.count()
+    central = stars.groupBy("key").agg(F.min_by("name", F.struct(share, F.col("name"))).alias("center"), F.count("*").alias("rows"))
+    central = materialize(few_tasks(central, total))
+    pairs = lookup_by_size(stars.select("key", "name"), central.filter("rows > 1"), "key", "rows", total)
     return pairs.filter("name <> center").select(F.least("name", "center").alias("a"), F.greatest("name", "center").alias("b"))
 
 
-def _open_entries(hot: DataFrame, member: DataFrame, sets: DataFrame) -> DataFrame:
-    """(query, group) that share a frequent prefix token and are not known to be connected.
+def _open_entries(hot: DataFrame, member: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
+    """(query, group) that share a frequent prefix token and are not known to be connected, and the number of postings.
 
     On each token the sets of its largest component need no query of their own: whatever links to
     them from another component asks for their groups. An entry is due on the first token that two
     sets share, so what lies behind it in either set must still be enough for a link.
     """
     postings = hot.filter("star < 0").select("token", "name", "n", (F.col("n") - F.col("place")).alias("rest"))
-    postings = postings.join(member, "name", "left")
-    postings = materialize(
-        postings.withColumn("component", F.coalesce("component", "name"))
-        .join(sets.select("name", "group"), "name")
-    )
+    rows = postings.count()
+    postings = postings.join(member, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    postings = materialize(few_tasks(postings.join(sets.select("name", "group"), "name"), rows))
     counts = postings.groupBy("token", "component").agg(F.count("*").alias("sets"))
     largest = counts.groupBy("token").agg(
         F.max_by("component", F.struct("sets", "component")).alias("largest"), F.count("*").alias("components")
@@ -493,7 +492,8 @@ def _open_entries(hot: DataFrame, member: DataFrame, sets: DataFrame) -> DataFra
     )
     groups = postings.groupBy("token", "group", "component").agg(F.max("rest").alias("rest"), F.min("n").alias("least_n"))
     enough = (100 + PERCENT) * F.least("own_rest", "rest") >= PERCENT * (F.col("n") + F.col("least_n"))
-    return asking.join(groups, "token").filter((F.col("own") != F.col("component")) & enough).select("query", "group").distinct()
+    due = asking.join(groups, "token").filter((F.col("own") != F.col("component")) & enough).select("query", "group").distinct()
+    return due, rows
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -507,21 +507,25 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     text = documents.select(F.col(text_col).alias("text"))
     stored = materialize(described(documents, id_col, text_col))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frequent = spark.sparkContext.broadcast(frequent_tokens(text, parts))
+    known = stored.filter("least IS NOT NULL")  # a set once in a task
+    n_sets, n_tokens = known.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    frequent = spark.sparkContext.broadcast(frequent_tokens(text, parts, n_tokens))
     hot = materialize(frequent_postings(text, frequent, parts))
-    lists = rare_postings(text, frequent, parts).repartition("token").sortWithinPartitions("token", "name")
+    n_postings = n_tokens * (100 - PERCENT) // 100 + n_sets
+    lists = few_tasks(rare_postings(text, frequent, parts).repartition("token"), n_postings // ROW_TOKENS)
+    lists = lists.sortWithinPartitions("token", "name")
     pairs = lists.mapInArrow(_list_pairs, "a long, b long").unionByName(_star_pairs(hot))
-    pairs = materialize(pairs.distinct())
+    pairs = materialize(few_tasks(pairs.distinct(), n_postings // ROW_TOKENS))
     named = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name")))
-    active = materialize(named.unionByName(hot.select("name")).distinct())
-    sets = stored.filter("least IS NOT NULL").select("name", "n", "least", "columns").join(active, "name", "left_semi")
-    matrix = Matrix(materialize(sets.dropDuplicates(["name"])), text)
+    active = materialize(few_tasks(named.unionByName(hot.select("name")).distinct(), n_sets))
+    sets = known.select("name", "n", "least", "columns").join(active, "name", "left_semi")
+    matrix = Matrix(materialize(few_tasks(sets.dropDuplicates(["name"]), n_sets)), text)
     entries = pairs.select(F.col("a").alias("query"), "b").join(
         matrix.sets.select(F.col("name").alias("b"), "group"), "b"
     )
-    links = materialize(matrix.links(entries.select("query", "group").distinct()))
-    member = materialize(components(links).withColumnRenamed("id", "name"))
-    more = matrix.links(_open_entries(hot, member, matrix.sets))
+    links = materialize(matrix.links(entries.select("query", "group").distinct(), pairs.count()))
+    member = materialize(few_tasks(components(links).withColumnRenamed("id", "name"), n_sets))
+    more = matrix.links(*_open_entries(hot, member, matrix.sets))
     final = components(materialize(links.unionByName(more)))
     classes = stored.filter("name IS NOT NULL").groupBy("name").agg(
         F.min(F.col("id").cast("long")).alias("least_id"), F.count("*").alias("rows")
@@ -529,9 +533,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     classes = classes.join(final.withColumnRenamed("id", "name"), "name", "left").withColumn(
         "component", F.coalesce("component", "name")
     )
-    classes = materialize(classes)
+    classes = materialize(few_tasks(classes, n_sets))
     smallest = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    result = materialize(classes.join(smallest, "component").select("name", "rows", "component_id"))
+    result = classes.join(smallest, "component").select("name", "rows", "component_id")
+    result = materialize(few_tasks(result, n_sets))
     rows = stored.select("id", "text_hash", F.col("n").alias("n_shingles"), "name")
     some = rows.filter("name IS NOT NULL")
     linked = lookup_by_size(some, result, "name", "rows", some.count()).drop("name", "rows")

@@ -67,6 +67,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that are worth a task of their own.
+TASK_ROWS = 20_000
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about so many rows, in no more tasks than they are worth; never fewer than keep all cores busy.
+
+    A shuffle leaves as many partitions as the session sets, and a step on a small table would start a task, a
+    worker and a file for each of them. Partitions are only read one after the other: no exchange, all rows stay.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 #: Smaller tables are not worth an exchange.
 _SPREAD_FROM = 100_000
 
