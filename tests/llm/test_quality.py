@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from veritab.llm import crf
 
@@ -58,3 +59,15 @@ def test_nulls_repeats_no_labels_and_no_rows(spark):
     assert [r["score"] for r in rows] == [0.5] * 4 and not rows[3]["held_out"]
     assert crf.classify(frame.limit(0), model).collect() == []
     assert crf.good_documents(frame, model).columns == frame.columns
+
+
+def test_fitting_looks_at_some_texts_at_once(monkeypatch):
+    texts = ["one two\nthree", None, "a b c d", "", "x" * 90, "!!\n!!", *["a line of words\n"] * 40]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts)), pa.int64()), "label": pa.array([1, 0] * 23, pa.int32()), "_text": pa.array(texts)})
+    whole = pa.Table.from_batches(crf._line_rows([batch]))
+    seen, features = [], crf.line_features
+    monkeypatch.setattr(crf, "CHUNK", 64)
+    monkeypatch.setattr(crf, "line_features", lambda some: seen.append(some) or features(some))
+    assert pa.Table.from_batches(crf._line_rows([batch])).to_pydict() == whole.to_pydict()
+    assert whole["id"].to_pylist() == list(range(len(texts)))
+    assert all(len(some) == 1 or sum(map(len, some)) <= 64 for some in seen) and len(seen) > 5

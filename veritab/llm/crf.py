@@ -12,6 +12,7 @@ document's label. Scoring is a function of the text alone and runs as an Arrow f
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -240,6 +241,23 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, label, and the bins and weights of the lines of each text, some texts at once: a batch may hold thousands."""
+    for batch in batches:
+        for a, b, texts in W.text_chunks(batch.column("_text"), CHUNK):
+            bins, weight, first = line_features(texts)
+            cut = list(zip(first[:-1].tolist(), first[1:].tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id")[a:b].cast(pa.int64()),
+                    batch.column("label")[a:b].cast(pa.int32()),
+                    pa.array([bins[x:y].tobytes() for x, y in cut], pa.binary()),
+                    pa.array([weight[x:y].tobytes() for x, y in cut], pa.binary()),
+                ],
+                ["id", "label", "bins", "weight"],
+            )
+
+
 def fit_on(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCUMENTS) -> Model:
     """Fit on at most ``sample`` labelled documents that are not held out, drawn by a hash of the id.
 
@@ -255,21 +273,8 @@ def fit_on(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     text = text.filter(F.size(F.split("_text", "\n")) <= SAMPLE_LINES)
     rows = text.join(F.broadcast(chosen), id_col)  # at most ``sample`` rows
 
-    def run(batches):
-        for batch in batches:
-            bins, weight, first = line_features(batch.column("_text").to_pylist())
-            cut = list(zip(first[:-1].tolist(), first[1:].tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(id_col).cast(pa.int64()),
-                    batch.column("label").cast(pa.int32()),
-                    pa.array([bins[a:b].tobytes() for a, b in cut], pa.binary()),
-                    pa.array([weight[a:b].tobytes() for a, b in cut], pa.binary()),
-                ],
-                ["id", "label", "bins", "weight"],
-            )
-
-    found = rows.mapInArrow(run, "id long, label int, bins binary, weight binary").toArrow().sort_by("id")
+    rows = rows.select(F.col(id_col).alias("id"), "label", "_text")
+    found = rows.mapInArrow(_line_rows, "id long, label int, bins binary, weight binary").toArrow().sort_by("id")
     if not found.num_rows:
         return Model(np.zeros(WIDTH), np.zeros((2, 2)), 1.0, 0.0)
     bins = np.frombuffer(b"".join(found["bins"].to_pylist()), np.int16).reshape(-1, len(FEATURES))
