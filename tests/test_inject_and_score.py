@@ -262,3 +262,24 @@ def test_forest_is_fitted_and_applied_in_groups_of_trees(spark, monkeypatch):
     assert sorted(r["o_orderkey"] for r in model.predict(rows).filter("label = 'missing'").collect()) == list(range(1, 400, 2))
     assert model.predict(rows).count() == 200
     assert abs(sum(model.weights) - 1) < 1e-9 and max(model.weights) == model.weights[names.index("is_null")]
+
+
+def test_forest_is_fitted_on_all_cells(spark, monkeypatch):
+    """More than a million cells' worth of records: none is left out of the fit."""
+    from veritab.operators.features import feature_names
+
+    names, n = feature_names(ORDERS), 250_100
+    rows = spark.range(n).select(
+        F.col("id").alias("o_orderkey"), F.lit("o_totalprice").alias("column"),
+        *[(F.col("id") % 2 if f == "is_null" else F.lit(0)).cast("double").alias(f) for f in names],
+        F.when(F.col("id") % 2 == 1, "missing").otherwise("clean").alias("label"),
+    )
+    weighed, made = [], forest.balanced_weights
+
+    def seen(cells, label="label"):
+        weighed.append(cells.count())
+        return made(cells, label)
+
+    monkeypatch.setattr(forest, "balanced_weights", seen)
+    forest.train_forest(rows, ORDERS, trees=1, depth=2)
+    assert weighed == [n]
